@@ -42,7 +42,7 @@ def salted_join(
     cut = left.join(hot, key, "left").withColumn("_piece", F.pmod(F.xxhash64(*spread_by), pieces)).drop("pieces")
     copied = (
         right.join(hot, key, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)).cast("bigint"))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), (pieces - 1).cast("bigint"))))
         .drop("pieces")
     )
     return cut.join(copied, [*key, "_piece"], how).drop("_piece")
