@@ -82,7 +82,7 @@ def product_pages(spark, sf: str) -> DataFrame:
             f"""concat('<div id="corePrice_feature_div"><div><span class="a-offscreen">', {price}, '</span></div></div>')""",
             f"""concat('<span id="priceblock_ourprice">', {price}, '</span>')""",
             f"""concat('<span id=priceblock_dealprice>', {price}, '</span>')""",
-            f"""concat('<span class="a-price"><span class="a-offscreen">', {price}, '</span>')""",
+            f"""concat('<span class="a-price"><span class="a-offscreen">', {price}, '</span></span>')""",
         ], 6),
         _pick(k, ["""'<span class="a-text-strike">$1,499.00</span>'""", """'<span data-a-strike="true"><span class="a-offscreen">$99.00</span></span>'"""], 3),
         _pick(k, [
@@ -109,7 +109,7 @@ def product_pages(spark, sf: str) -> DataFrame:
         _pick(k, ["""'<a id="SSOFpopoverLink">Fulfilled by AMAZON</a>'""", """'<i class="a-icon a-icon-prime"></i>'""", """'<div id="deliveryMessageMirId">by post</div>'"""], 4),
         _pick(k, ["""'<div class="aplus-v2 desktop"></div>'"""], 2),
         _pick(k, ["""'<div id="availability"><span>\n In Stock </span></div>'"""], 2),
-        "'</div></body></html>'",
+        "'<p>open <b>to the end</div></body></html>'",
     )
     return part.select(
         F.col(k).alias("page_id"),

@@ -9,8 +9,10 @@ unclosed element ends with its parent, ``<p>`` closes nothing by itself.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html.parser import HTMLParser
+from operator import attrgetter
 
 # Elements that never have content, and elements whose text is not page text.
 VOID = frozenset(
@@ -27,18 +29,18 @@ _COMPOUND = re.compile(
 )
 
 
+_ORDER = attrgetter("order")
+
+
 class Element:
-    __slots__ = ("tag", "attrs", "classes", "parent", "order", "last", "nth", "kids", "t0", "t1")
+    """Knows its parent and left sibling but not its children, so a page has no reference cycles."""
 
-    def __init__(self, tag, attrs, parent, order, t0):
-        self.tag, self.attrs, self.parent, self.order, self.t0 = tag, attrs, parent, order, t0
+    __slots__ = ("tag", "attrs", "classes", "parent", "left", "order", "last", "nth", "t0", "t1")
+
+    def __init__(self, tag, attrs, parent, left, order, t0):
+        self.tag, self.attrs, self.parent, self.left, self.order, self.t0 = tag, attrs, parent, left, order, t0
         self.classes = (attrs.get("class") or "").split()
-        self.last, self.t1, self.kids = order, t0, []
-        if parent is None:
-            self.nth = 0
-        else:
-            parent.kids.append(self)
-            self.nth = len(parent.kids)
+        self.last, self.t1, self.nth = order, t0, 1 if left is None else left.nth + 1
 
     def get(self, name):
         return self.attrs.get(name) or ""
@@ -53,14 +55,18 @@ class Page(HTMLParser):
         self.elements: list[Element] = []
         self.by_tag, self.by_id, self.by_class = {}, {}, {}
         self._pending: list[str] = []
-        self._root = Element("", {}, None, -1, 0)
-        self._open = [self._root]
+        self._open = [Element("", {}, None, None, -1, 0)]
+        self._newest = [None]  # per open element, its latest child
         self._hidden: list[Element] = []
         self.feed(html)
         self.close()
         self._flush()
         while self._open:
-            self._end(self._open.pop())
+            self._end()
+
+    def updatepos(self, i, j):
+        """Line numbers are not needed."""
+        return j
 
     # building -------------------------------------------------------------------------------
     def _flush(self):
@@ -71,37 +77,41 @@ class Page(HTMLParser):
                 text = "\n" if "\n" in text else " "
             self.texts.append((text, self._hidden[-1].tag if self._hidden else None))
 
-    def _end(self, element):
+    def _end(self):
+        element = self._open.pop()
+        self._newest.pop()
         element.last, element.t1 = len(self.elements) - 1, len(self.texts)
         if self._hidden and self._hidden[-1] is element:
             self._hidden.pop()
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        element = Element(tag, dict(attrs), self._open[-1], len(self.elements), len(self.texts))
+        element = Element(tag, dict(attrs), self._open[-1], self._newest[-1], len(self.elements), len(self.texts))
+        self._newest[-1] = element
         self.elements.append(element)
         self.by_tag.setdefault(tag, []).append(element)
-        for name in set(element.classes):
+        for name in set(element.classes) if element.classes else ():
             self.by_class.setdefault(name, []).append(element)
         if "id" in element.attrs:
             self.by_id.setdefault(element.attrs["id"], []).append(element)
         if tag in VOID:
             return
         self._open.append(element)
+        self._newest.append(None)
         if tag in HIDDEN:
             self._hidden.append(element)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self._end(self._open.pop())
+            self._end()
 
     def handle_endtag(self, tag):
         self._flush()
         for at in range(len(self._open) - 1, 0, -1):
             if self._open[at].tag == tag:
                 while len(self._open) > at:
-                    self._end(self._open.pop())
+                    self._end()
                 return
 
     def handle_data(self, data):
@@ -135,80 +145,95 @@ class Page(HTMLParser):
         return next(self.select(selector, scope), None)
 
     def _matches(self, chain, scope):
-        lo, hi = (-1, len(self.elements)) if scope is None else (scope.order, scope.last)
-        key = chain[-1][1]
-        if key["id"]:
-            pool = self.by_id.get(key["id"], ())
-        elif key["classes"]:
-            pool = self.by_class.get(key["classes"][0], ())
-        elif key["tag"]:
-            pool = self.by_tag.get(key["tag"], ())
+        steps, ids, classes, tags = chain
+        if not (ids <= self.by_id.keys() and classes <= self.by_class.keys() and tags <= self.by_tag.keys()):
+            return iter(())
+        tag, id_, names, *_ = steps[-1][1]
+        if id_:
+            pool = self.by_id[id_]
+        elif names:
+            pool = self.by_class[names[0]]
+        elif tag:
+            pool = self.by_tag[tag]
         else:
             pool = self.elements
-        return (e for e in pool if lo < e.order <= hi and _chain_fits(e, chain, len(chain) - 1))
+        if scope is not None:
+            pool = pool[bisect_right(pool, scope.order, key=_ORDER) : bisect_right(pool, scope.last, key=_ORDER)]
+        return (e for e in pool if _chain_fits(e, steps, len(steps) - 1))
 
 
 @lru_cache(maxsize=None)
 def compiled(selector: str):
-    """Alternatives, each a list of (combinator to the left neighbour, compound)."""
+    """Alternatives: steps of (combinator to the left neighbour, compound), and the ids, classes and tags a
+    page must have for any match."""
     chains = []
     for part in selector.split(","):
-        chain, link = [], " "
+        steps, link = [], " "
         for word in part.split():
             if word == "~":
                 link = "~"
             else:
-                chain.append((link, _compound(word)))
+                steps.append((link, _compound(word)))
                 link = " "
-        chains.append(chain)
+        compounds = [c for _, c in steps]
+        needed = (
+            {c[1] for c in compounds if c[1]},
+            {name for c in compounds for name in c[2]},
+            {c[0] for c in compounds if c[0]},
+        )
+        chains.append((steps, *needed))
     return chains
 
 
-def _compound(word: str) -> dict:
-    out = {"tag": None, "id": None, "classes": [], "attrs": [], "no": [], "nth": None}
+def _compound(word: str) -> tuple:
+    """(tag, id, classes, attribute tests, negated compounds, child number)"""
+    tag = id_ = nth = None
+    classes, attrs, no = [], [], []
     for m in _COMPOUND.finditer(word):
-        kind = m.lastgroup
-        if kind in ("tag", "id"):
-            out[kind] = m[kind]
-        elif kind == "cls":
-            out["classes"].append(m["cls"])
+        if m["tag"]:
+            tag = m["tag"]
+        elif m["id"]:
+            id_ = m["id"]
+        elif m["cls"]:
+            classes.append(m["cls"])
         elif m["attr"]:
-            out["attrs"].append((m["attr"], m["op"], m["val"]))
-        elif kind == "no":
-            out["no"].append(_compound(m["no"]))
+            attrs.append((m["attr"], m["op"], m["val"]))
+        elif m["no"]:
+            no.append(_compound(m["no"]))
         else:
-            out["nth"] = int(m["nth"] or 1)
-    return out
+            nth = int(m["nth"] or 1)
+    return tag, id_, classes, attrs, no, nth
 
 
-def _fits(e: Element, c: dict) -> bool:
-    if c["tag"] and e.tag != c["tag"] or c["nth"] and e.nth != c["nth"]:
-        return False
-    if c["id"] and e.attrs.get("id") != c["id"]:
+def _fits(e: Element, compound: tuple) -> bool:
+    tag, id_, classes, attrs, no, nth = compound
+    if tag and e.tag != tag or nth and e.nth != nth or id_ and e.attrs.get("id") != id_:
         return False
-    for name in c["classes"]:
+    for name in classes:
         if name not in e.classes:
             return False
-    for name, op, want in c["attrs"]:
+    for name, op, want in attrs:
         if name not in e.attrs:
             return False
         have = " ".join(e.classes) if name == "class" else e.attrs[name] or ""
         if op == "=" and have != want or op == "*=" and want not in have or op == "^=" and not have.startswith(want):
             return False
-    return not any(_fits(e, no) for no in c["no"])
+    for other in no:
+        if _fits(e, other):
+            return False
+    return True
 
 
-def _chain_fits(e: Element, chain, at: int) -> bool:
-    link, compound = chain[at]
+def _chain_fits(e: Element, steps, at: int) -> bool:
+    link, compound = steps[at]
     if not _fits(e, compound):
         return False
     if at == 0:
         return True
-    if link == "~":
-        return any(_chain_fits(s, chain, at - 1) for s in e.parent.kids[: e.nth - 1])
-    up = e.parent
-    while up is not None and up.order >= 0:
-        if _chain_fits(up, chain, at - 1):
+    beside = link == "~"
+    other = e.left if beside else e.parent
+    while other is not None and other.order >= 0:
+        if _chain_fits(other, steps, at - 1):
             return True
-        up = up.parent
+        other = other.left if beside else other.parent
     return False
