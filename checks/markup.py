@@ -218,7 +218,7 @@ def review_pages(spark, sf: str) -> DataFrame:
         ], 3),
     )
     return lines.select(
-        F.xxhash64(k, "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("page_id"),
+        F.expr("cast(round(l_extendedprice * 100) AS bigint)").alias("page_id"),
         F.expr(f"concat('https://www.amazon.com/product-reviews/', {ASIN.format('l_partkey')}, '/ref=x?ie=UTF8&pageNumber=', l_linenumber)").alias("url"),
         F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"),
         F.lit("review").alias("page_kind"),

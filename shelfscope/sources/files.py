@@ -12,8 +12,9 @@ def _open(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything a path pattern names, is there."""
     fs, target = _open(spark, path)
-    return fs.exists(target)
+    return bool(fs.globStatus(target))
 
 
 def names(spark: SparkSession, path: str) -> list[str]:

@@ -35,7 +35,7 @@ def save_json(df: DataFrame, path: str, with_snapshot: bool = True) -> bool:
     df.write.mode("overwrite").options(**KEEP_NULLS).json(path)
     if with_snapshot:
         saved = df.sparkSession.read.text(path)
-        saved.write.text(f"{path.rstrip('/')}_snapshots/{run_stamp()}")
+        saved.write.mode("overwrite").text(f"{path.rstrip('/')}_snapshots/{run_stamp()}")
     return True
 
 
@@ -98,7 +98,10 @@ def export_datasets(datasets: dict[str, DataFrame], folder: str, brand: str | No
 
 
 def _rows_as_list(df: DataFrame, order: str):
-    """A short ranked table as one array value. Only for results of fixed size."""
+    """A short ranked table as one array value, sorted by the SQL expression ``order``.
+
+    Only for results of fixed size: the top 50 brands, five price buckets, one brand.
+    """
     fields = F.struct(*df.columns)
     listed = df.agg(F.array_sort(F.collect_list(F.struct(F.expr(order).alias("_at"), fields.alias("row")))).alias("rows"))
     return listed.select(F.transform("rows", lambda r: r.row)).scalar()
@@ -109,18 +112,15 @@ def report(search: DataFrame, products: DataFrame, reviews: DataFrame, tasks: Da
     tables = {"search_results": search, "products": products, "reviews": reviews}
     if tasks is not None:
         tables["scrape_tasks"] = tasks
-    prices = price_distribution(products).withColumn(
-        "_low", F.regexp_extract("price_range", r"^\d+", 0).cast("int")
-    )
     counts = table_counts(tables).agg(F.map_from_entries(F.collect_list(F.struct("table_name", "row_count")))).scalar()
     one = review_stats(reviews)
     return one.select(
         X.iso_now().alias("generated_at"),
         counts.alias("stats"),
         _rows_as_list(brand_stats(products), "struct(-product_count, brand)").alias("brand_distribution"),
-        F.transform(
-            _rows_as_list(prices, "_low"), lambda r: F.struct(r.price_range.alias("price_range"), r["count"].alias("count"))
-        ).alias("price_distribution"),
+        _rows_as_list(price_distribution(products), "cast(regexp_extract(price_range, '^[0-9]+', 0) as int)").alias(
+            "price_distribution"
+        ),
         F.struct(*one.columns).alias("review_stats"),
     )
 
