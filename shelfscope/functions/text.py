@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def mentions(text: Column, phrase: str) -> Column:
     return F.contains(F.lower(text), F.lit(phrase.lower()))
 
 
+def mentions_any(text: Column, phrases: list[str]) -> Column:
+    """Whether any phrase, taken literally and without case, occurs: one scan of the text for all of them."""
+    if not phrases:
+        return F.lit(False)
+    return F.rlike(F.lower(text), F.lit("|".join(re.escape(p.lower()) for p in phrases)))
+
+
 def available_date(text: Column) -> Column:
     """``Month d, yyyy`` inside a product-details row."""
     return extract(text, r"(?U)(\w+\s+\d+,?\s*\d{4})")

@@ -23,13 +23,9 @@ PRODUCT_URL = "https://www.amazon.com/dp/"
 
 def valid_brand(text: Column, stop_words: list[str] = NOT_A_BRAND) -> Column:
     """A brand text holds no stop word (as a substring, so "Adidas" falls to "ad"), price or currency sign."""
-    folded = F.lower(X.strip(text))
-    stopped = F.lit(False)
-    for word in stop_words:
-        stopped = stopped | F.contains(folded, F.lit(word))
     ok = (
         (text != "")
-        & ~stopped
+        & ~X.mentions_any(text, stop_words)
         & ~F.rlike(text, F.lit(r"[$€£]"))
         & ~F.rlike(text, F.lit(r"(?U)\d+\.\d{2}"))
         & (F.length(text) <= 60)

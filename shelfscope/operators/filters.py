@@ -13,13 +13,8 @@ def is_target_brand(brand: Column, targets: list[str], mode: str = "contains", e
     for any target inside it, literally."""
     if not enabled:
         return F.lit(True)
-    folded, wanted = X.strip(F.lower(brand)), [t.lower().strip() for t in targets]
-    if mode == "exact":
-        hit = folded.isin(wanted)
-    else:
-        hit = F.lit(False)
-        for target in wanted:
-            hit = hit | F.contains(folded, F.lit(target))
+    wanted = [t.lower().strip() for t in targets]
+    hit = F.lower(X.strip(brand)).isin(wanted) if mode == "exact" else X.mentions_any(X.strip(brand), wanted)
     return F.coalesce((brand != "") & hit, F.lit(False))
 
 

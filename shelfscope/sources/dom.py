@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from functools import lru_cache
 from html.parser import HTMLParser
 from operator import attrgetter
 
@@ -162,10 +161,15 @@ class Page(HTMLParser):
         return (e for e in pool if _chain_fits(e, steps, len(steps) - 1))
 
 
-@lru_cache(maxsize=None)
+_COMPILED: dict[str, list] = {}
+
+
 def compiled(selector: str):
     """Alternatives: steps of (combinator to the left neighbour, compound), and the ids, classes and tags a
     page must have for any match."""
+    chains = _COMPILED.get(selector)
+    if chains is not None:
+        return chains
     chains = []
     for part in selector.split(","):
         steps, link = [], " "
@@ -182,6 +186,7 @@ def compiled(selector: str):
             {c[0] for c in compounds if c[0]},
         )
         chains.append((steps, *needed))
+    _COMPILED[selector] = chains
     return chains
 
 
