@@ -28,6 +28,7 @@ _COMPOUND = re.compile(
 )
 
 
+_WORDS = re.compile(r"(?:\[[^\]]*\]|\S)+")
 _ORDER = attrgetter("order")
 
 
@@ -173,7 +174,7 @@ def compiled(selector: str):
     chains = []
     for part in selector.split(","):
         steps, link = [], " "
-        for word in part.split():
+        for word in _WORDS.findall(part):
             if word == "~":
                 link = "~"
             else:
