@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.views import base, oracle, view, views
 from shelfscope.functions import text as X
-from shelfscope.operators import dedup, filters, merged, paging, ranking, stats
+from shelfscope.operators import dedup, filters, joins, merged, paging, ranking, stats
 
 QUERIES, ORACLES = {}, {}
 
@@ -191,7 +191,7 @@ def merged_skewed(spark, sf):
     """Asins stored under two brands fan out; a low bound makes many keys hot and cuts them into pieces."""
     s, p, r = views(spark, sf)
     again = p.where(F.endswith(p.asin, F.lit("4"))).withColumn("brand", F.concat("brand", F.lit("*")))
-    got = merged.merged_view(s, p.unionByName(again), r, ordered=False, share=1e-9, min_rows=5)
+    got = merged.merged_view(s, p.unionByName(again), r, ordered=False, min_rows=5)
     return got.select("asin", "search_keyword", "search_rank", "brand", "title", "review_count")
 
 
@@ -218,7 +218,7 @@ def pending_reviews(spark, sf):
 SELECT r.asin, r.review_id FROM reviews r WHERE r.asin IN (SELECT asin FROM products WHERE rating_count > 4000)""", "reviews", "products")
 def asins_in_work_list(spark, sf):
     _, p, r = views(spark, sf)
-    return r.join(p.where("rating_count > 4000").select("asin"), "asin", "left_semi").select("asin", "review_id")
+    return joins.in_work_list(r, p.where("rating_count > 4000"), ["review_id"]).select("asin", "review_id")
 
 
 @query("concatenated_batches", """
@@ -469,7 +469,7 @@ def review_page_cut(spark, sf):
 @query("review_page_cut_skewed", _CUT.format(paged=_PAGED, cap=10))
 def review_page_cut_skewed(spark, sf):
     """The same rows with nearly every product treated as hot."""
-    return _cut(spark, sf, share=1e-9, min_rows=4)
+    return _cut(spark, sf, min_rows=4)
 
 
 @query("search_page_end", """

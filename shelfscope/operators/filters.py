@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions import text as X
+from shelfscope.operators.joins import in_work_list
 
 
 def is_target_brand(brand: Column, targets: list[str], mode: str = "contains", enabled: bool = True) -> Column:
@@ -58,7 +59,7 @@ def products(
 ) -> DataFrame:
     """``asins`` may be a short list or, for any number of them, a DataFrame with an ``asin`` column."""
     if isinstance(asins, DataFrame):
-        df = df.join(asins.select("asin"), "asin", "left_semi")
+        df = in_work_list(df, asins, ["brand"])
     elif asins:
         df = df.where(F.col("asin").isin(asins))
     if brand:

@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this share of the rows, so there are never more than 1/share of them.
-HOT_SHARE = 1 / 2000
+# A key with more than HOT_ROWS rows is hot; only the HOT_KEYS largest count, as any other key holds
+# less than 1/HOT_KEYS of the rows. The hot list is therefore never longer than that, whatever the data size.
 HOT_ROWS = 1_000_000
+HOT_KEYS = 2_000
+MAX_PIECES = 10_000
 
 
-def hot_keys(df: DataFrame, key: list[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
-    """(key …, pieces): keys too frequent for one task and into how many pieces to cut them.
-
-    At most ``1/share`` rows whatever the data size, which is what makes broadcasting them safe.
-    """
-    counts = df.groupBy(*key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    limit = F.greatest(F.lit(float(min_rows)), total * share)
-    pieces = F.ceil(F.col("n") / limit).cast("int").alias("pieces")
-    return counts.where(F.col("n") > limit).dropna(subset=key).select(*key, pieces)
+def hot_keys(df: DataFrame, key: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """(key …, pieces): keys too frequent for one task and into how many pieces to cut them."""
+    counts = df.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > min_rows)
+    largest = counts.dropna(subset=key).orderBy(F.desc("n"), *key).limit(HOT_KEYS)
+    pieces = F.least(F.ceil(F.col("n") / min_rows), F.lit(MAX_PIECES)).cast("int")
+    return largest.select(*key, pieces.alias("pieces"))
 
 
 def salted_join(
@@ -28,16 +26,17 @@ def salted_join(
     key: str | list[str],
     how: str,
     spread_by: list[str],
-    share: float = HOT_SHARE,
     min_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on ``key``, with the left rows of hot keys cut into pieces.
 
     Only hot keys are copied on the right, one copy per piece; each left row meets exactly one copy, so
-    the result is that of the plain join. ``spread_by`` must vary within a key.
+    the result is that of the plain join. ``spread_by`` must vary within a key. Keys are counted on
+    ``counted`` where the left side's source is cheaper to read than the left side itself.
     """
     key = [key] if isinstance(key, str) else key
-    hot = F.broadcast(hot_keys(left.select(*key), key, share, min_rows))
+    hot = F.broadcast(hot_keys((left if counted is None else counted).select(*key), key, min_rows))
     pieces = F.coalesce(F.col("pieces"), F.lit(1))
     cut = left.join(hot, key, "left").withColumn("_piece", F.pmod(F.xxhash64(*spread_by), pieces)).drop("pieces")
     copied = (
@@ -46,3 +45,8 @@ def salted_join(
         .drop("pieces")
     )
     return cut.join(copied, [*key, "_piece"], how).drop("_piece")
+
+
+def in_work_list(rows: DataFrame, asins: DataFrame, spread_by: list[str], **hot) -> DataFrame:
+    """Rows of the listed asins, for lists of any length."""
+    return salted_join(rows, asins.select("asin").distinct(), "asin", "left_semi", spread_by, **hot)

@@ -38,16 +38,15 @@ def review_page_stops(pages: DataFrame, cap: int = REVIEW_PAGES) -> DataFrame:
         pages.where(F.col("review_id").isNotNull())
         .groupBy("asin", "review_id")
         .agg(F.min("page_no").alias("page_no"))
-        .groupBy("asin", "page_no")
-        .agg(F.lit(False).alias("bad"), F.count("*").alias("new_reviews"))
+        .select("asin", "page_no", F.lit(False).alias("bad"), F.lit(1).alias("new"))
     )
-    listed = pages.groupBy("asin", "page_no").agg(F.max("bad").alias("bad"), F.lit(0).cast("bigint").alias("new_reviews"))
     per_page = (
-        listed.unionByName(first_seen)
+        pages.select("asin", "page_no", "bad", F.lit(0).alias("new"))
+        .unionByName(first_seen)
         .groupBy("asin", "page_no")
-        .agg(F.max("bad").alias("bad"), F.sum("new_reviews").alias("new_reviews"))
+        .agg(F.max("bad").alias("bad"), F.max("new").alias("new"))
     )
-    usable = ~F.col("bad") & ((F.col("page_no") == 1) | (F.col("new_reviews") > 0))
+    usable = ~F.col("bad") & ((F.col("page_no") == 1) | (F.col("new") > 0))
     steps = F.sequence(F.lit(1), F.lit(cap + 1))
     return per_page.groupBy("asin").agg(F.collect_set(F.when(usable, F.col("page_no").cast("int"))).alias("good")).select(
         "asin", F.get(F.array_except(steps, F.col("good")), F.lit(0)).alias("stop")
@@ -59,7 +58,7 @@ def cut_review_pages(pages: DataFrame, cap: int = REVIEW_PAGES, **hot) -> DataFr
 
     ``pages`` is read more than once: pass stored or staged rows, not a fresh extraction.
     """
-    kept = first_review(page_cap(pages, cap).where(F.col("review_id").isNotNull()))
+    listed = page_cap(pages, cap).where(F.col("review_id").isNotNull())
     stops = review_page_stops(pages, cap)
-    cut = salted_join(kept, stops, "asin", "inner", spread_by=["review_id"], **hot)
+    cut = salted_join(first_review(listed), stops, "asin", "inner", spread_by=["review_id"], counted=listed, **hot)
     return cut.where(F.col("page_no") < F.col("stop")).drop("stop", "bad")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.operators import extract_product, extract_review, extract_search, filters, merged, paging, stats
 from shelfscope.operators.dedup import first_listing, newest_page
+from shelfscope.operators.joins import in_work_list
 from shelfscope.operators.quality import is_blocked, is_captcha
 from shelfscope.operators.ranking import top_for_review
 from shelfscope.session import stage
@@ -48,7 +49,7 @@ def for_asins(pages: DataFrame, asins: DataFrame, extract) -> DataFrame:
     asins = stage(asins.select("asin").distinct())
     if asins.count() <= BROADCAST_ASINS:
         return extract(pages.join(F.broadcast(asins), "asin", "left_semi"))
-    return extract(pages).join(asins, "asin", "left_semi")
+    return in_work_list(extract(pages), asins, ["page_id"], counted=pages)
 
 
 # ---- search -----------------------------------------------------------------------------------
@@ -58,8 +59,8 @@ def search_listings(pages: DataFrame, settings: Settings, run_brand: str = "", k
         ordinal = F.create_map(*[v for n, k in enumerate(keywords) for v in (F.lit(k), F.lit(n))])
         pages = pages.where(F.col("keyword").isin(keywords)).withColumn("keyword_ord", ordinal[F.col("keyword")])
     capped = paging.page_cap(pages, settings.search_pages)
-    read = stage(extract_search.search_candidates(capped))
-    current = paging.until_last_page(newest_page(read, ["keyword", "page_no"]))
+    read = newest_page(extract_search.search_candidates(capped), ["keyword", "page_no"])
+    current = paging.until_last_page(read)
     items = extract_search.search_items(current)
     kept = filters.keep_target_brands(
         items, settings.targets(run_brand), settings.brand_match_mode, settings.filter_by_brand
@@ -132,7 +133,7 @@ def run_reviews(
         asins = top_for_review(store.read("products"), settings.reviews_top_n)
     todo = merged.resume_reviews(asins, store.read("reviews"), settings.min_reviews)
     cap = settings.review_pages
-    candidates = stage(for_asins(pages, todo, lambda some: review_page_candidates(some, cap)))
+    candidates = for_asins(pages, todo, lambda some: review_page_candidates(some, cap))
     found = stage(reviews_of_candidates(candidates, cap, run_brand))
     store["reviews"].upsert(found)
     records.save_json(found, f"{folder}/reviews_new.json")
