@@ -133,41 +133,49 @@ class Page(HTMLParser):
         own = element.tag if element.tag in HIDDEN else None
         return "".join(t.strip() for t, hidden in self.texts[element.t0:element.t1] if hidden == own)
 
-    def select(self, selector: str, scope: Element | None = None):
+    def select(self, selector: str, scope: Element | None = None) -> list[Element]:
         """Matches below ``scope`` in document order; ancestors named in the selector may lie above it."""
         chains = compiled(selector)
         if len(chains) == 1:
-            return self._matches(chains[0], scope)
-        found = {e.order: e for chain in chains for e in self._matches(chain, scope)}
-        return iter([found[k] for k in sorted(found)])
+            return [e for e in self._pool(chains[0], scope) if _fits_all(e, chains[0])]
+        found = {e.order: e for chain in chains for e in self._pool(chain, scope) if _fits_all(e, chain)}
+        return [found[k] for k in sorted(found)]
 
     def one(self, selector: str, scope: Element | None = None) -> Element | None:
-        return next(self.select(selector, scope), None)
-
-    def _matches(self, chain, scope):
-        steps, ids, classes, tags = chain
-        if not (ids <= self.by_id.keys() and classes <= self.by_class.keys() and tags <= self.by_tag.keys()):
-            return iter(())
-        tag, id_, names, *_ = steps[-1][1]
-        if id_:
-            pool = self.by_id[id_]
-        elif names:
-            pool = self.by_class[names[0]]
-        elif tag:
-            pool = self.by_tag[tag]
-        else:
-            pool = self.elements
+        """The first match."""
+        chains = compiled(selector)
+        if len(chains) > 1:
+            return next(iter(self.select(selector, scope)), None)
+        for e in self._pool(chains[0], scope):
+            if _fits_all(e, chains[0]):
+                return e
+        return None
+
+    def _pool(self, chain, scope):
+        """Elements that can match: those with the rarest name the selector's last part asks for, within scope."""
+        _, ids, classes, tags, pick = chain
+        for name in ids:
+            if name not in self.by_id:
+                return ()
+        for name in classes:
+            if name not in self.by_class:
+                return ()
+        for name in tags:
+            if name not in self.by_tag:
+                return ()
+        kind, name = pick
+        pool = self.elements if kind is None else getattr(self, kind)[name]
         if scope is not None:
             pool = pool[bisect_right(pool, scope.order, key=_ORDER) : bisect_right(pool, scope.last, key=_ORDER)]
-        return (e for e in pool if _chain_fits(e, steps, len(steps) - 1))
+        return pool
 
 
 _COMPILED: dict[str, list] = {}
 
 
 def compiled(selector: str):
-    """Alternatives: steps of (combinator to the left neighbour, compound), and the ids, classes and tags a
-    page must have for any match."""
+    """Alternatives: steps of (combinator to the left neighbour, compound), the ids, classes and tags a page
+    must have for any match, and the index to look in."""
     chains = _COMPILED.get(selector)
     if chains is not None:
         return chains
@@ -181,12 +189,17 @@ def compiled(selector: str):
                 steps.append((link, _compound(word)))
                 link = " "
         compounds = [c for _, c in steps]
-        needed = (
-            {c[1] for c in compounds if c[1]},
-            {name for c in compounds for name in c[2]},
-            {c[0] for c in compounds if c[0]},
+        tag, id_, names, *_ = compounds[-1]
+        pick = ("by_id", id_) if id_ else ("by_class", names[0]) if names else ("by_tag", tag) if tag else (None, None)
+        chains.append(
+            (
+                steps,
+                [c[1] for c in compounds if c[1]],
+                [name for c in compounds for name in c[2]],
+                [c[0] for c in compounds if c[0]],
+                pick,
+            )
         )
-        chains.append((steps, *needed))
     _COMPILED[selector] = chains
     return chains
 
@@ -230,6 +243,11 @@ def _fits(e: Element, compound: tuple) -> bool:
     return True
 
 
+def _fits_all(e: Element, chain) -> bool:
+    steps = chain[0]
+    return _chain_fits(e, steps, len(steps) - 1)
+
+
 def _chain_fits(e: Element, steps, at: int) -> bool:
     link, compound = steps[at]
     if not _fits(e, compound):

@@ -23,6 +23,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes below ``path``."""
+    fs, target = _open(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
 def create_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a new file whole; a file already there is an error."""
     fs, target = _open(spark, path)

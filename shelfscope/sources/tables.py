@@ -3,8 +3,11 @@
 Spark refuses MERGE on Parquet and cannot overwrite a path it reads, so an upsert writes its batch as a
 new part and then publishes, in one new manifest file, which parts make up the table. A write therefore costs
 its batch, not the table; readers see the old or the new manifest, never half a write; two
-writers racing for one manifest number cannot both win. Reading more than one part takes the latest row per key; after
-``MAX_PARTS`` upserts the parts are folded into one, which then reads as a plain scan.
+writers racing for one manifest number cannot both win. Reading more than one part takes the latest row per key.
+
+After ``MAX_PARTS`` upserts the parts behind the first are folded into one, and the first is only folded in once
+they have grown to ``REWRITE_SHARE`` of it: a large table is rewritten after it has grown by that share, not
+after a number of batches. A table of one part reads as a plain scan.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from shelfscope.operators.dedup import last_per_unique_key
 from shelfscope.sources import files
 
 MAX_PARTS = 8
+REWRITE_SHARE = 0.25
 
 
 class KeyedTable:
@@ -116,7 +120,9 @@ class KeyedTable:
         batch.write.parquet(self._part(part))
         self._publish(number + 1, [*parts, part])
         if len(parts) + 1 > MAX_PARTS:
-            self.fold()
+            base, *later = self._latest()[1]
+            grown = sum(files.size(self.spark, self._part(p)) for p in later)
+            self._fold(whole=grown >= REWRITE_SHARE * files.size(self.spark, self._part(base)))
         return self
 
     def append_new(self, rows: DataFrame) -> "KeyedTable":
@@ -126,11 +132,15 @@ class KeyedTable:
 
     def fold(self) -> "KeyedTable":
         """Write the current rows as a single part."""
+        return self._fold(whole=True)
+
+    def _fold(self, whole: bool) -> "KeyedTable":
         number, parts = self._latest()
-        if len(parts) > 1:
-            part = self._new_part(number + 1)
-            self._rows(parts).write.parquet(self._part(part))
-            self._publish(number + 1, [part])
+        kept, folded = ([], parts) if whole else (parts[:1], parts[1:])
+        if len(folded) > 1:
+            part = self._new_part(int(folded[-1][:9]))  # takes the place of the last part folded into it
+            self._rows(folded).write.parquet(self._part(part))
+            self._publish(number + 1, [*kept, part])
         return self
 
     def reset(self, confirm: bool = False) -> "KeyedTable":

@@ -32,6 +32,21 @@ def test_upserts_equal_a_dictionary(spark, folder, monkeypatch):
     assert len(table._latest()[1]) <= 3
 
 
+def test_small_additions_do_not_rewrite_a_large_table(spark, folder, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_PARTS", 3)
+    table = KeyedTable(spark, folder, "products").create()
+    large = spark.range(20000).selectExpr("concat('a', id) as asin", "'b' as brand", "sha2(cast(id as string), 256) as title", "1 as seq")
+    table.upsert(large)
+    (base,) = table._latest()[1]
+    for step in range(7):
+        table.upsert(spark.createDataFrame([("a1", "b", f"new{step}", 1), (f"n{step}", "b", "x", 1)], DDL))
+    parts = table._latest()[1]
+    assert parts[0] == base and len(parts) <= 3 and parts == sorted(parts)
+    assert table.read().count() == 20007
+    assert [r.title for r in table.read().where("asin = 'a1'").collect()] == ["new6"]
+    assert len(table.fold()._latest()[1]) == 1 and table.read().count() == 20007
+
+
 def test_repeating_an_upsert_changes_nothing(spark, folder):
     batch = spark.createDataFrame([("a", "b", "t", 1), ("a", None, "u", 2)], DDL)
     table = KeyedTable(spark, folder, "products").create().upsert(batch.where("brand is not null"))
