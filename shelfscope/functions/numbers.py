@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.text import extract
 
-_LEADING_NUMBER = r"^[ \t\n\x0B\f\r]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+# How numbers are written on pages.
+LEADING_NUMBER = r"^[ \t\n\x0B\f\r]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+COMMA_INTEGER = r"(?U)([\d,]+)"
+OUT_OF = r"(?U)([\d.]+)\s*out of"
+ANY_NUMBER = r"(?U)([\d.]+)"
+BOUGHT = r"(?U)(\d+(?:\.\d+)?)\s*([KkMm])?\s*\+?"
+BOUGHT_STRICT = r"(?U)(\d+(?:\.\d+)?)\s*([KkMm](?!\w))?"
+PEOPLE = r"(?U)(\d+)\s+people?"
+ONE_PERSON = "one person"
 
 
 def leading_number(text: Column) -> Column:
     """The longest numeric prefix as a double, 0.0 where there is none."""
-    return F.coalesce(extract(text, _LEADING_NUMBER).try_cast("double"), F.lit(0.0))
+    return F.coalesce(extract(text, LEADING_NUMBER).try_cast("double"), F.lit(0.0))
 
 
 def price_value(price: Column) -> Column:
@@ -25,17 +33,17 @@ def comma_integer(text: Column) -> Column:
 
 
 def first_comma_integer(text: Column) -> Column:
-    return comma_integer(extract(text, r"(?U)([\d,]+)"))
+    return comma_integer(extract(text, COMMA_INTEGER))
 
 
 def rating_value(text: Column) -> Column:
     """4.5 from ``4.5 out of 5 stars``."""
-    return extract(text, r"(?U)([\d.]+)\s*out of").try_cast("double")
+    return extract(text, OUT_OF).try_cast("double")
 
 
 def star_rating(text: Column) -> Column:
     """First number in the text, truncated."""
-    return extract(text, r"(?U)([\d.]+)").try_cast("double").try_cast("int")
+    return extract(text, ANY_NUMBER).try_cast("double").try_cast("int")
 
 
 def bought_number(text: Column, strict: bool = False) -> Column:
@@ -45,17 +53,17 @@ def bought_number(text: Column, strict: bool = False) -> Column:
     million. ``strict`` reads thousands commas and takes K or M only where no letter follows.
     """
     if strict:
-        pattern, source = r"(?U)(\d+(?:\.\d+)?)\s*([KkMm](?!\w))?", F.replace(text, F.lit(","), F.lit(""))
+        pattern, source = BOUGHT_STRICT, F.replace(text, F.lit(","), F.lit(""))
     else:
-        pattern, source = r"(?U)(\d+(?:\.\d+)?)\s*([KkMm])?\s*\+?", text
+        pattern, source = BOUGHT, text
     unit = F.upper(F.regexp_extract(source, pattern, 2))
     scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).otherwise(1.0)
     return F.coalesce((extract(source, pattern).try_cast("double") * scale).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def helpful_votes(text: Column) -> Column:
-    counted = extract(text, r"(?U)(\d+)\s+people?").try_cast("int")
-    one = F.when(F.contains(F.lower(text), F.lit("one person")), 1)
+    counted = extract(text, PEOPLE).try_cast("int")
+    one = F.when(F.contains(F.lower(text), F.lit(ONE_PERSON)), 1)
     return F.coalesce(counted, one, F.lit(0))
 
 

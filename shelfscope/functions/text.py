@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 # Java's \s, \d and \w are ASCII unless (?U) is given; page text need not be.
 _SPACE = r"[\s\x1c-\x1f]"
 
+# What surrounds a brand name, and how dates and times are written.
+BRAND_LEAD = rf"(?iU)^(?:Visit the|Brand:?){_SPACE}*"
+BRAND_TAIL = rf"(?iU){_SPACE}*Store$"
+AVAILABLE_DATE = r"(?U)(\w+\s+\d+,?\s*\d{4})"
+REVIEW_DATE = r"(?Ud)on\s+(.+)$"
+LONG_DATE = "MMMM d, yyyy"
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``; NULL, not '', where there is none."""
@@ -22,8 +30,8 @@ def strip(text: Column) -> Column:
 
 
 def clean_brand(text: Column) -> Column:
-    lead = F.regexp_replace(text, rf"(?iU)^(?:Visit the|Brand:?){_SPACE}*", "")
-    return strip(F.regexp_replace(lead, rf"(?iU){_SPACE}*Store$", ""))
+    lead = F.regexp_replace(text, BRAND_LEAD, "")
+    return strip(F.regexp_replace(lead, BRAND_TAIL, ""))
 
 
 def keyword_to_url(keyword: Column) -> Column:
@@ -56,21 +64,21 @@ def mentions_any(text: Column, phrases: list[str]) -> Column:
 
 def available_date(text: Column) -> Column:
     """``Month d, yyyy`` inside a product-details row."""
-    return extract(text, r"(?U)(\w+\s+\d+,?\s*\d{4})")
+    return extract(text, AVAILABLE_DATE)
 
 
 def review_date(text: Column) -> Column:
     """What follows the first ``on``, else the text itself."""
-    return F.coalesce(extract(text, r"(?Ud)on\s+(.+)$"), text)
+    return F.coalesce(extract(text, REVIEW_DATE), text)
 
 
 def long_date(text: Column) -> Column:
     """Typed form of ``March 5, 2024``; NULL for any other shape."""
-    return F.to_date(F.try_to_timestamp(text, F.lit("MMMM d, yyyy")))
+    return F.to_date(F.try_to_timestamp(text, F.lit(LONG_DATE)))
 
 
 def iso_now() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.date_format(F.current_timestamp(), ISO_TIME)
 
 
 def encode_json(value: Column) -> Column:

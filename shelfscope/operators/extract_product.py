@@ -16,6 +16,13 @@ DESCRIPTION_CHARS = 2000
 SMALL_TO_LARGE = [("_SS40_", "_SL1500_"), ("_AC_US40_", "_AC_SL1500_")]
 NOT_A_PHOTO = ["sprite", "grey-pixel"]
 OWN_SELLER = "Amazon.com"
+STAR = r"(?U)(\d)"
+STAR_NAMED = r"(?iU)(\d)\s*star"
+STAR_AND_SHARE = r"(?iUd)(\d)\s*star.*?(\d+)%"
+SHARE = r"(?U)(\d+)%"
+RANK_IN = r"(?U)#?([\d,]+)\s+in\s+"
+RANK_IN_CATEGORY = r"(?U)#?([\d,]+)\s+in\s+([^()\n]+)"
+BOUGHT_WORD = "bought"
 BOUGHT_IN_SOURCE = r"(?iU)>(\d+[KkMm]?\+?\s*bought\s+in\s+past\s+month)<"
 
 
@@ -43,24 +50,23 @@ def _star_shares(pairs: Column) -> Column:
 
 
 def _share(text: Column) -> Column:
-    return X.extract(text, r"(?U)(\d+)%").try_cast("int")
+    return X.extract(text, SHARE).try_cast("int")
 
 
 def rating_distribution(found: Column) -> Column:
     rows = F.transform(
         found.star_rows,
-        lambda r: F.struct(X.extract(r.star, r"(?U)(\d)").alias("star"), _share(r.share).alias("share")),
+        lambda r: F.struct(X.extract(r.star, STAR).alias("star"), _share(r.share).alias("share")),
     )
-    label = r"(?iUd)(\d)\s*star.*?(\d+)%"
     labels = F.transform(
         found.star_labels,
         lambda t: F.struct(
-            X.extract(t, label).alias("star"), X.extract(t, label, 2).try_cast("int").alias("share")
+            X.extract(t, STAR_AND_SHARE).alias("star"), X.extract(t, STAR_AND_SHARE, 2).try_cast("int").alias("share")
         ),
     )
     bars = F.transform(
         found.star_bars,
-        lambda t: F.struct(X.extract(t, r"(?iU)(\d)\s*star").alias("star"), _share(t).alias("share")),
+        lambda t: F.struct(X.extract(t, STAR_NAMED).alias("star"), _share(t).alias("share")),
     )
     first, second, third = _star_shares(rows), _star_shares(labels), _star_shares(bars)
     return F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).otherwise(third)
@@ -68,7 +74,7 @@ def rating_distribution(found: Column) -> Column:
 
 def _bought_text(found: Column) -> Column:
     return F.coalesce(
-        X.first_where(found.bought, lambda t: X.mentions(t, "bought")),
+        X.first_where(found.bought, lambda t: X.mentions(t, BOUGHT_WORD)),
         F.get(found.bought_spans, F.lit(0)),
         F.col("bought_in_source"),
         F.lit(""),
@@ -77,11 +83,10 @@ def _bought_text(found: Column) -> Column:
 
 def sales_rank(rows: Column) -> Column:
     """(rank, category) of the first row that names a readable rank."""
-    pattern = r"(?U)#?([\d,]+)\s+in\s+([^()\n]+)"
     ranks = F.transform(
         rows,
         lambda t: F.struct(
-            N.comma_integer(X.extract(t, pattern)).alias("rank"), X.strip(X.extract(t, pattern, 2)).alias("category")
+            N.comma_integer(X.extract(t, RANK_IN_CATEGORY)).alias("rank"), X.strip(X.extract(t, RANK_IN_CATEGORY, 2)).alias("category")
         ),
     )
     return X.first_where(ranks, lambda r: r.rank.isNotNull())
@@ -91,7 +96,7 @@ def sub_category_ranks(links: Column) -> Column:
     ranked = F.transform(
         links,
         lambda k: F.struct(
-            N.comma_integer(X.extract(k.context, r"(?U)#?([\d,]+)\s+in\s+")).alias("rank"),
+            N.comma_integer(X.extract(k.context, RANK_IN)).alias("rank"),
             k.category.alias("category"),
             k.url.alias("url"),
         ),

@@ -18,6 +18,10 @@ NOT_A_BRAND = [
 ]
 CHOICE_BADGE = "Amazon's Choice"
 BEST_SELLER_BADGE = "Best Seller"
+MONEY_SIGN = r"[$€£]"
+DECIMAL_PRICE = r"(?U)\d+\.\d{2}"
+RATING_COUNT = r"(?U)([\d,]+)\s*rating"
+SPONSORED = "sponsored"
 PRODUCT_URL = "https://www.amazon.com/dp/"
 
 
@@ -26,8 +30,8 @@ def valid_brand(text: Column, stop_words: list[str] = NOT_A_BRAND) -> Column:
     ok = (
         (text != "")
         & ~X.mentions_any(text, stop_words)
-        & ~F.rlike(text, F.lit(r"[$€£]"))
-        & ~F.rlike(text, F.lit(r"(?U)\d+\.\d{2}"))
+        & ~F.rlike(text, F.lit(MONEY_SIGN))
+        & ~F.rlike(text, F.lit(DECIMAL_PRICE))
         & (F.length(text) <= 60)
     )
     return F.coalesce(ok, F.lit(False))
@@ -51,7 +55,7 @@ def _rating(item: Column) -> Column:
 def _rating_count(item: Column) -> Column:
     plain = F.transform(item.counts, lambda t: F.translate(t, ",()", ""))
     shown = X.first_where(plain, lambda t: F.rlike(t, F.lit("^[0-9]+$"))).try_cast("bigint")
-    return F.coalesce(shown, N.comma_integer(X.extract(item.count_label, r"(?U)([\d,]+)\s*rating")))
+    return F.coalesce(shown, N.comma_integer(X.extract(item.count_label, RATING_COUNT)))
 
 
 def _badge(item: Column, badge: str) -> Column:
@@ -95,7 +99,7 @@ def search_items(
         F.coalesce(X.first_present(item.original_price), F.lit("")).alias("original_price"),
         _rating(item).alias("rating"),
         _rating_count(item).alias("rating_count"),
-        X.flag(item.ad_badge | F.exists(item.ad_spans, lambda t: F.lower(t) == "sponsored")).alias("is_sponsored"),
+        X.flag(item.ad_badge | F.exists(item.ad_spans, lambda t: F.lower(t) == SPONSORED)).alias("is_sponsored"),
         _badge(item, CHOICE_BADGE).alias("is_amazon_choice"),
         _badge(item, BEST_SELLER_BADGE).alias("is_best_seller"),
         F.concat(F.lit(PRODUCT_URL), item.asin).alias("url"),

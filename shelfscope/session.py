@@ -8,7 +8,10 @@ import uuid
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfscope.sources import files
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_staged: list[str] = []
 
 
 def local_session(name: str = "shelfscope", cpus: str | int = "*", memory: str = "8g") -> SparkSession:
@@ -53,4 +56,11 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete what ``stage`` wrote, once no result built on it is needed any more."""
+    while _staged:
+        files.remove(spark, _staged.pop())

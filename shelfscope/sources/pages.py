@@ -12,15 +12,22 @@ from shelfscope.functions import text as X
 SEARCH_PATH = r"^https?://[^/]+/s\?"
 PRODUCT_PATH = r"/dp/([A-Za-z0-9]+)"
 REVIEW_PATH = r"/product-reviews/([A-Za-z0-9]+)"
+KEYWORD = r"[?&]k=([^&#]*)"
+SEARCH_PAGE = r"[?&]page=(\d+)"
+REVIEW_PAGE = r"[?&]pageNumber=(\d+)"
+
+# Parsing a page is CPU work, so scan splits should be small: a reader cannot split below a row group.
+ROW_GROUP_BYTES = 16 * 1024 * 1024
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A stored page table; columns it lacks come out NULL."""
-    return with_context(spark.read.parquet(path))
+    """A stored page table. Context columns it has are taken as they are, so a filter on ``page_kind`` still
+    picks folders; those it lacks come from the address."""
+    return with_context(spark.read.parquet(path), fill_nulls=False)
 
 
-def with_context(pages: DataFrame) -> DataFrame:
-    """Fill page kind, keyword, page number and asin from the address where the store does not hold them."""
+def with_context(pages: DataFrame, fill_nulls: bool = True) -> DataFrame:
+    """Fill page kind, keyword, page number and asin from the address where they are missing or NULL."""
     url = F.col("url")
     product, review = X.extract(url, PRODUCT_PATH), X.extract(url, REVIEW_PATH)
     kind = (
@@ -28,20 +35,24 @@ def with_context(pages: DataFrame) -> DataFrame:
         .when(review.isNotNull(), F.lit("review"))
         .when(product.isNotNull(), F.lit("product"))
     )
-    number = F.coalesce(X.extract(url, r"[?&]page=(\d+)"), X.extract(url, r"[?&]pageNumber=(\d+)"))
+    number = F.coalesce(X.extract(url, SEARCH_PAGE), X.extract(url, REVIEW_PAGE))
     derived = {
         "page_kind": kind,
-        "keyword": F.when(kind == "search", X.keyword_from_url(X.extract(url, r"[?&]k=([^&#]*)"))),
+        "keyword": F.when(kind == "search", X.keyword_from_url(X.extract(url, KEYWORD))),
         "page_no": F.when(kind.isNotNull(), F.coalesce(number.try_cast("int"), F.lit(1))),
         "asin": F.when(kind == "review", review).when(kind == "product", product),
     }
     out = []
     for field in schemas.struct(schemas.PAGES):
-        stored = F.col(field.name) if field.name in pages.columns else F.lit(None)
-        out.append(F.coalesce(stored, derived.get(field.name, F.lit(None))).cast(field.dataType).alias(field.name))
+        value = derived.get(field.name, F.lit(None))
+        if field.name in pages.columns:
+            stored = F.col(field.name)
+            value = F.coalesce(stored, value) if fill_nulls and field.name in derived else stored
+        out.append(value.cast(field.dataType).alias(field.name))
     return pages.select(*out)
 
 
 def write_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
     """Keep raw pages for later extraction, one folder per kind so a job reads only its own."""
-    pages.write.mode(mode).partitionBy("page_kind").parquet(path)
+    writer = pages.write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES)
+    writer.partitionBy("page_kind").parquet(path)

@@ -118,6 +118,9 @@ class KeyedTable:
             batch = last_per_unique_key(batch, self.keys, ["seq"]).drop("seq")
         part = self._new_part(number + 1)
         batch.write.parquet(self._part(part))
+        if self.spark.read.schema(self.schema).parquet(self._part(part)).isEmpty():
+            files.remove(self.spark, self._part(part))
+            return self
         self._publish(number + 1, [*parts, part])
         if len(parts) + 1 > MAX_PARTS:
             base, *later = self._latest()[1]

@@ -101,3 +101,29 @@ def test_pretty_printed_arrays_load(spark, folder):
     files.create_text(spark, f"{folder}/a.json", '[\n {"asin": "B1", "n": null},\n {"asin": "B2", "n": 2}\n]')
     got = records.load_json(spark, f"{folder}/a.json", "asin string, n int", multi_line=True)
     assert sorted((r.asin, r.n or 0) for r in got.collect()) == [("B1", 0), ("B2", 2)]
+
+
+def test_a_job_reads_only_its_kind_of_page(spark, folder, pages):
+    from shelfscope.sources.pages import read_pages
+
+    write_pages(pages, f"{folder}/pages")
+    plan = jobs.product_details(read_pages(spark, f"{folder}/pages"), jobs.Settings())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(page_kind" in text and plan.count() == 2
+
+
+def test_an_empty_upsert_adds_no_part(spark, folder):
+    store = Store(spark, folder).create()
+    store["products"].upsert(spark.createDataFrame([], "asin string, brand string"))
+    assert store["products"]._latest()[1] == []
+
+
+def test_staged_results_can_be_released(spark, folder):
+    from shelfscope import session
+    from shelfscope.sources import files
+
+    session.stage(spark.range(3))
+    path = session._staged[-1]
+    assert files.exists(spark, path)
+    session.release_staged(spark)
+    assert not files.exists(spark, path) and not session._staged
