@@ -57,11 +57,11 @@ def merged_view(
     details = products.select("asin", *FROM_PRODUCT)
     if match_brand:
         own = details.withColumn("search_brand", F.col("brand"))
-        rows = salted_join(listings, own, ["asin", "search_brand"], "left", ["search_keyword"], **hot)
-        rows = salted_join(rows, counts, "asin", "left", ["search_keyword", "search_brand"], **hot)
+        rows = salted_join(listings, own, ["asin", "search_brand"], "left", ["search_keyword", "search_rank"], **hot)
+        rows = salted_join(rows, counts, "asin", "left", ["search_keyword", "search_brand", "search_rank"], **hot)
     else:
         per_asin = _with_counts(details, counts, **hot)
-        rows = salted_join(listings, per_asin, "asin", "left", ["search_keyword", "search_brand"], **hot)
+        rows = salted_join(listings, per_asin, "asin", "left", ["search_keyword", "search_brand", "search_rank"], **hot)
     out = rows.select(*FROM_SEARCH, *FROM_PRODUCT, F.coalesce("review_count", F.lit(0)).alias("review_count"))
     return out.orderBy(*MERGED_ORDER) if ordered else out
 
