@@ -31,13 +31,21 @@ def local_session(name: str = "shelfscope", cpus: str | int = "*", memory: str =
     return spark
 
 
+def is_single_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named."""
+    """The shared folder the cluster names. A single-machine session may do without one; a cluster may not."""
     try:
         root = spark.conf.get(CHECKPOINT_DIR)
     except PySparkException:
         root = None
-    root = root or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shelfscope-")
+    root = root or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not is_single_machine(spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="shelfscope-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
