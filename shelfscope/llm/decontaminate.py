@@ -84,7 +84,8 @@ def find(
     hits = (
         own.select("doc_id", words_of(F.col("text")).alias("words"))
         .select("doc_id", F.transform(shingles("words"), lambda s: F.xxhash64(s)).alias("hashes"))
-        .select("doc_id", F.posexplode("hashes").alias("at", "hash"))
+        # Outer, so that no filter on the hashes is derived and evaluated before the words are: the join drops empty texts anyway.
+        .select("doc_id", F.posexplode_outer("hashes").alias("at", "hash"))
         .join(known, "hash")
     )
     hits = stage(hits.select("doc_id", "at", "hash"))
