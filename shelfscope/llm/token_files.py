@@ -1,9 +1,9 @@
 """Token ids as flat binary files.
 
 A data set is a folder of parts in ascending order of ids. Part ``N`` has three files: ``part-N.bin`` holds the token ids of its documents one
-after the other as little-endian unsigned 32-bit integers; ``part-N.off`` holds, as little-endian unsigned 64-bit integers, where each of its
+after the other as little-endian unsigned integers, of 16 bits if every id of the vocabulary and the end id fit, else of 32; ``part-N.off`` holds, as little-endian unsigned 64-bit integers, where each of its
 documents begins in the whole data set, and at last where the part ends; ``part-N.docs`` is an Arrow file of the documents' ids. ``_parts`` is a
-Parquet table of part, documents, tokens and base (tokens of all parts before it).
+Parquet table of part, documents, tokens, width (bytes of an id) and base (tokens of all parts before it).
 
 Documents are sorted by range, so each task writes one part and only the counts of parts, one row each, are summed up for the bases. A
 file is written under a name of its task's attempt and then moved: a task that runs twice leaves one whole file, with the same bytes.
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END = 1
+COUNTS = "part int, docs long, tokens long, width int"
 #: Chunks of text whose ids a worker remembers; rare ones go when there are more.
 REMEMBERED = 1 << 20
 _tokenizers: dict[str, Encoder] = {}
@@ -44,9 +45,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}  # how special tokens begin
         self.seen: dict[str, bytes] = {}
+        self.width = 2 if max(self.tokenizer.get_vocab().values()) < 1 << 16 else 4
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         cut = [None if any(m in t for m in self.marks) else t.replace("\n", " ").split(" ") for t in (t or "" for t in texts)]
@@ -93,15 +95,18 @@ def _write_ids(docs: DataFrame, uri: str, tokenizer: str, end: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, path = _folder(uri)
-        encode, last = encoder(tokenizer).batch, np.array([end], dtype="<u4").tobytes()
+        coder = encoder(tokenizer)
+        if end >= 1 << 8 * coder.width:
+            raise ValueError("the end id is larger than the ids of the vocabulary's width")
+        last = np.array([end], dtype=f"<u{coder.width}").tobytes()
         ids, lengths = [], []
         with fs.open_output_stream(f"{path}/_{own}.bin") as out:
             for b in batches:
                 texts = b.column(1).to_pylist()
                 for at in range(0, len(texts), 256):
-                    coded = [c + last for c in encode(texts[at : at + 256])]
+                    coded = [c + last for c in coder.batch(texts[at : at + 256])]
                     out.write(b"".join(coded))
-                    lengths += [len(c) // 4 for c in coded]
+                    lengths += [len(c) // coder.width for c in coded]
                 ids.append(b.column(0))
         if not lengths:
             fs.delete_file(f"{path}/_{own}.bin")
@@ -111,9 +116,9 @@ def _write_ids(docs: DataFrame, uri: str, tokenizer: str, end: int) -> DataFrame
             file.write_table(table)
         for kind in ("bin", "docs"):
             fs.move(f"{path}/_{own}.{kind}", f"{path}/{_name(part, kind)}")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(lengths)], pa.int64()), "tokens": pa.array([sum(lengths)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(lengths)], pa.int64()), "tokens": pa.array([sum(lengths)], pa.int64()), "width": pa.array([coder.width], pa.int32())})
 
-    return docs.mapInArrow(run, "part int, docs long, tokens long")
+    return docs.mapInArrow(run, COUNTS)
 
 
 def _write_offsets(parts: DataFrame, uri: str) -> DataFrame:
@@ -149,7 +154,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: st
     in_order = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     counts = f"{path}/_counts"
     _write_ids(in_order, uri, tokenizer, end).write.parquet(counts)
-    counted = spark.read.schema("part int, docs long, tokens long").parquet(counts)
+    counted = spark.read.schema(COUNTS).parquet(counts)
     # One row per part: a few thousand at most, far below what one task sums up.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = counted.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
@@ -158,22 +163,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col: st
 
 
 def parts_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, docs long, tokens long, base long").parquet(f"{path}/_parts")
+    return spark.read.schema(f"{COUNTS}, base long").parquet(f"{path}/_parts")
 
 
 def read(spark: SparkSession, path: str, id_type: str = "bigint", ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, and with ``ids`` the array ids) of each document, from the files alone.
 
-    ``ids_crc32`` is the checksum of the document's bytes in the file. A part is one task; documents are slices of the mapped file.
+    ``ids_crc32`` is the checksum of the document's ids as little-endian unsigned 32-bit integers, whatever their width in the file. A part is one task; documents are slices of the mapped file.
     """
     uri = qualified(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _folder(uri)
         for b in batches:
-            for part in b.column(0).to_pylist():
+            for part, width in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at = lambda what, n=part: f"{folder}/{_name(n, what)}"
-                tokens = np.frombuffer(_map(fs, at("bin")), dtype="<u4")
+                tokens = np.frombuffer(_map(fs, at("bin")), dtype=f"<u{width}")
                 starts = np.frombuffer(_map(fs, at("off")), dtype="<u8").astype(np.int64)
                 docs = pa.ipc.open_file(_map(fs, at("docs"))).read_all()["doc_id"].combine_chunks()
                 own = starts - starts[0]
@@ -181,7 +186,7 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint", ids: bool = Tr
                     bounds = list(zip(own[first : first + 1024], own[first + 1 : first + 1025]))
                     columns = [
                         docs.slice(first, 1024), pa.array(starts[first : first + len(bounds)]), pa.array([int(z - a) for a, z in bounds], pa.int64()),
-                        pa.array([zlib.crc32(tokens[a:z].tobytes()) for a, z in bounds], pa.int64()),
+                        pa.array([zlib.crc32(tokens[a:z].astype("<u4").tobytes()) for a, z in bounds], pa.int64()),
                     ]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if ids:
@@ -190,4 +195,4 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint", ids: bool = Tr
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     more = ", ids array<bigint>" if ids else ""
-    return _one_task_each(parts_of(spark, path).select("part")).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long{more}")
+    return _one_task_each(parts_of(spark, path).select("part", "width")).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long{more}")
