@@ -101,9 +101,15 @@ def find(
     laid = held.join(where, (held["hash"] == where["h"]) & held["i"].eqNullSafe(where["item_id"]))
     starts = stage(laid.select(F.col("d").alias("doc_id"), "size", F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start")).distinct())
     texts = only_ids(own, starts.select("doc_id")).select(F.col("doc_id").alias("id"), words_of(F.col("text")).alias("all"))
+    # A text meets the list of its windows once; equal windows of a text are one, told by the first.
+    laid_out = starts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("at"))
+    cut = F.transform("at", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice("all", w["start"] + 1, w["size"]).alias("words")))
     windows = stage(
-        texts.join(starts, texts["id"].eqNullSafe(starts["doc_id"]))
-        .select("doc_id", "size", "start", F.slice("all", F.col("start") + 1, F.col("size")).alias("words"))
+        texts.join(laid_out, texts["id"].eqNullSafe(laid_out["doc_id"]))
+        .select("doc_id", F.explode_outer(cut).alias("w"))
+        .select("doc_id", "w.*")
+        .groupBy("doc_id", "size", "words")
+        .agg(F.min("start").alias("start"))
         .select("doc_id", "size", "start", shingles("words").alias("shingles"))
         .select("doc_id", "size", "start", "shingles", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
         .select("doc_id", "size", "start", "shingles", simhash("hashes").alias("print"))
