@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.llm import ann, decontaminate, license_scan, packing, pii, secret_scan, sharding, simhash_dedup, token_files, toxicity
 from shelfscope.llm.common import table
+from shelfscope.llm.oracles import ORACLES  # noqa: F401
 from shelfscope.session import scratch_path
 
 #: The shards that documents are placed on.
@@ -69,6 +70,3 @@ QUERIES = {
     "op9_sharding": sharding_query,
     "op10_neighbours": neighbours_query,
 }
-
-#: Filled in where SQL can express a query.
-ORACLES: dict[str, str] = {}
