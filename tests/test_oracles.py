@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from checks import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 
 @pytest.fixture(scope="module")
