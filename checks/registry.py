@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import pages, relational, runs, scalars, stores
+from checks import pages, refusals, relational, runs, scalars, stores
 
-_MODULES = (relational, scalars, pages, stores, runs)
+_MODULES = (relational, scalars, pages, stores, runs, refusals)
 
 
 def queries() -> dict:

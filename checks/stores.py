@@ -355,7 +355,7 @@ def every_brand_export(spark, sf):
     store, folder = _filled(spark, sf), scratch_path(spark, "export")
     records.export_every_brand(store, folder)
     parts = [
-        spark.read.parquet(f"{folder}/{n}").groupBy("brand").agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), F.coalesce("brand", F.lit("")).alias("brand"), "n")
+        spark.read.parquet(f"{folder}/{n}").groupBy("brand").agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "brand", "n")
         for n in ("products", "search_results")
     ]
     return parts[0].unionByName(parts[1])

@@ -39,7 +39,8 @@ def keyword_to_url(keyword: Column) -> Column:
 
 
 def keyword_from_url(text: Column) -> Column:
-    return F.try_url_decode(text)
+    """The decoded keyword; text that is no valid encoding ("50%off") stands for itself."""
+    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
 
 
 def truncated(text: Column, n: int) -> Column:

@@ -45,6 +45,14 @@ def first_review(reviews: DataFrame, order: tuple[str, ...] = ("page_no", "pos")
     return first_per(reviews, ["asin", "review_id"], list(order))
 
 
-def newest_page(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """One copy per page position, the latest fetched."""
-    return last_per(pages, keys, ["fetched_at", "page_id"])
+def newest_page(pages: DataFrame, keys: list[str], bad: str | None = None) -> DataFrame:
+    """One copy per page position, the latest fetched; a copy that is ``bad`` only where there is no other.
+
+    Pages without a key are told apart by nothing and all stay.
+    """
+    order = [F.col(c).desc_nulls_last() for c in ("fetched_at", "page_id")]
+    keyless = F.lit(False)
+    for key in keys:
+        keyless = keyless | F.col(key).isNull()
+    ranked = _one_per(pages.where(~keyless), keys, [F.col(bad).asc(), *order] if bad else order)
+    return ranked.unionByName(pages.where(keyless))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.operators.joins import salted_join
+from shelfscope.operators.joins import HOT_ROWS, hot_keys, salted_join
 from shelfscope.operators.ranking import top_for_review
+from shelfscope.session import stage
 
 FROM_SEARCH = ["asin", "search_keyword", "search_rank", "is_sponsored", "is_amazon_choice", "is_best_seller"]
 FROM_PRODUCT = [
@@ -25,16 +26,6 @@ def review_counts(reviews: DataFrame, brand: str | None = None) -> DataFrame:
     return reviews.groupBy("asin").agg(F.count("*").alias("review_count"))
 
 
-def _with_counts(details: DataFrame, counts: DataFrame, **hot) -> DataFrame:
-    """Products with their counts, and the counts of asins without a product.
-
-    A full outer join written as its two halves, since only a left join can cut a hot key into pieces.
-    """
-    counted = salted_join(details, counts, "asin", "left", ["brand"], **hot)
-    alone = counts.join(details.select("asin").distinct(), "asin", "left_anti")
-    return counted.unionByName(alone, allowMissingColumns=True)
-
-
 def merged_view(
     search: DataFrame,
     products: DataFrame,
@@ -42,7 +33,7 @@ def merged_view(
     brand: str | None = None,
     match_brand: bool = False,
     ordered: bool = True,
-    **hot,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every search row with each stored product of its asin and the asin's review count.
 
@@ -55,13 +46,15 @@ def merged_view(
     listings = search.select(*FROM_SEARCH, F.col("brand").alias("search_brand"))
     counts = review_counts(reviews, brand)
     details = products.select("asin", *FROM_PRODUCT)
+    # Listings are the side where an asin can be hot: its rows are counted once for all joins. Products are one row per asin and
+    # brand and counts one per asin, so these meet in a plain join.
+    cut = {"hot": stage(hot_keys(listings.select("asin"), ["asin"], min_rows)), "spread_by": ["search_keyword", "search_brand", "search_rank"]}
     if match_brand:
         own = details.withColumn("search_brand", F.col("brand"))
-        rows = salted_join(listings, own, ["asin", "search_brand"], "left", ["search_keyword", "search_rank"], **hot)
-        rows = salted_join(rows, counts, "asin", "left", ["search_keyword", "search_brand", "search_rank"], **hot)
+        rows = salted_join(listings, own, ["asin", "search_brand"], "left", **cut)
+        rows = salted_join(rows, counts, "asin", "left", **cut)
     else:
-        per_asin = _with_counts(details, counts, **hot)
-        rows = salted_join(listings, per_asin, "asin", "left", ["search_keyword", "search_brand", "search_rank"], **hot)
+        rows = salted_join(listings, details.join(counts, "asin", "full_outer"), "asin", "left", **cut)
     out = rows.select(*FROM_SEARCH, *FROM_PRODUCT, F.coalesce("review_count", F.lit(0)).alias("review_count"))
     return out.orderBy(*MERGED_ORDER) if ordered else out
 

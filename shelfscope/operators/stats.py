@@ -134,7 +134,9 @@ def brand_dashboards(search: DataFrame, products: DataFrame, reviews: DataFrame,
     if brand is not None:
         products, reviews = products.where(F.col("brand") == brand), reviews.where(F.col("brand") == brand)
     of_products, of_reviews = _brand_figures(products, reviews, ["brand"])
-    out = progress.join(of_products, "brand", "left").join(of_reviews, "brand", "left")
+    out = progress
+    for figures in (of_products, of_reviews):  # a brand that is not known is a brand of its own
+        out = out.join(figures.withColumnRenamed("brand", "_brand"), out["brand"].eqNullSafe(F.col("_brand")), "left").drop("_brand")
     for part in ("verified", "positive", "negative"):
         out = out.withColumn(f"{part}_percent", percent(F.col(f"{part}_count"), F.col("review_total")))
     return out

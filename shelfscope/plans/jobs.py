@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfscope.operators import extract_product, extract_review, extract_search, filters, merged, paging, stats
 from shelfscope.operators.dedup import first_listing, newest_page
 from shelfscope.operators.joins import in_work_list
-from shelfscope.operators.quality import is_blocked, is_captcha
+from shelfscope.operators.quality import is_blocked, is_captcha, is_refused
 from shelfscope.operators.ranking import top_for_review
 from shelfscope.session import stage
 from shelfscope.sources import records
@@ -58,9 +58,11 @@ def search_listings(pages: DataFrame, settings: Settings, run_brand: str = "", k
     if keywords:
         ordinal = F.create_map(*[v for n, k in enumerate(keywords) for v in (F.lit(k), F.lit(n))])
         pages = pages.where(F.col("keyword").isin(keywords)).withColumn("keyword_ord", ordinal[F.col("keyword")])
-    capped = paging.page_cap(pages, settings.search_pages)
-    read = newest_page(extract_search.search_candidates(capped), ["keyword", "page_no"])
-    current = paging.until_last_page(read)
+    html = F.col("html")
+    capped = paging.page_cap(pages, settings.search_pages).withColumn("refused", is_captcha(html) | is_blocked(html))
+    # A refused page neither ends its keyword nor stands in the way of an older good copy.
+    read = extract_search.search_candidates(capped).withColumn("has_next", F.col("has_next") | F.col("refused"))
+    current = paging.until_last_page(newest_page(read, ["keyword", "page_no"], bad="refused").where(~F.col("refused")).drop("refused"))
     items = extract_search.search_items(current)
     kept = filters.keep_target_brands(
         items, settings.targets(run_brand), settings.brand_match_mode, settings.filter_by_brand
@@ -107,14 +109,14 @@ def review_page_candidates(pages: DataFrame, cap: int) -> DataFrame:
     """One narrow row per readable page position: candidates, and whether the page ends its product's run."""
     html = F.col("html")
     capped = paging.page_cap(_of_kind(pages, "review"), cap).select(
-        "page_id", "asin", "page_no", "fetched_at", "html", (is_captcha(html) | is_blocked(html)).alias("refused")
+        "page_id", "asin", "page_no", "fetched_at", "html", (is_captcha(html) | is_refused(html)).alias("refused")
     )
     read = extract_review.review_candidates(capped)
     return read.withColumn("bad", F.col("refused") | F.col("unreadable")).drop("refused", "unreadable")
 
 
 def reviews_of_candidates(candidates: DataFrame, cap: int, run_brand: str = "") -> DataFrame:
-    current = newest_page(candidates, ["asin", "page_no"])
+    current = newest_page(candidates, ["asin", "page_no"], bad="bad")
     rows = stage(extract_review.review_rows(current, keep_empty_pages=True))
     kept = paging.cut_review_pages(rows, cap)
     return kept.withColumn("brand", F.lit(run_brand)).drop("page_id", "fetched_at", "page_no", "pos", "review_date")

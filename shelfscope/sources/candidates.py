@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(layouts)
 def read_candidates(pages: DataFrame, layout: str) -> DataFrame:
     """All columns of ``pages`` but ``html``, and one ``found`` struct of the layout's candidates.
 
-    ``found`` is NULL for a page the tokenizer cannot read.
+    ``found`` is NULL for a page that cannot be read, whatever is wrong with it.
     """
     reader, found = layouts.LAYOUTS[layout]
     carried = [f for f in pages.schema.fields if f.name != "html"]
@@ -35,10 +35,9 @@ def read_candidates(pages: DataFrame, layout: str) -> DataFrame:
 
     def read(html):
         try:
-            page = parse(html or "")
-        except AssertionError:  # html.parser gives up on some malformed declarations
+            return reader(parse(html or ""))
+        except Exception:  # one malformed page must not end a job over all others; its NULL is counted as unreadable
             return None
-        return reader(page)
 
     def run(batches):
         for batch in batches:

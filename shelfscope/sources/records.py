@@ -165,7 +165,9 @@ def export_brand(store: Store, folder: str, brand: str) -> dict[str, str]:
 def export_every_brand(store: Store, folder: str) -> None:
     """All brands in one pass per table, one sub-folder per brand.
 
-    Rebalancing by brand keeps a brand in few files and splits one that is too large for a task.
+    Rebalancing by brand keeps a brand in few files and splits one that is too large for a task. Folders are named by
+    the brand behind a sign of equality, so an empty brand ("=") and an unknown one ("none") stay apart; rows keep their brand.
     """
     for name in ("search_results", "products", "reviews"):
-        flatten(store.read(name)).hint("rebalance", "brand").write.mode("overwrite").partitionBy("brand").parquet(f"{folder}/{name}")
+        rows = flatten(store.read(name)).withColumn("brand_folder", F.coalesce(F.concat(F.lit("="), "brand"), F.lit("none")))
+        rows.hint("rebalance", "brand_folder").write.mode("overwrite").partitionBy("brand_folder").parquet(f"{folder}/{name}")

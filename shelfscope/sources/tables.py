@@ -63,15 +63,19 @@ class KeyedTable:
         if not parts:
             return self.spark.createDataFrame([], self.schema)
         if len(parts) == 1:
-            return self.spark.read.schema(self.schema).parquet(self._part(parts[0]))
-        # The folder name gives every row its part.
-        rows = (
-            self.spark.read.schema(f"{schemas.TABLES[self.name]}, part string")
-            .option("basePath", self.path)
-            .parquet(*[self._part(p) for p in parts])
-        )
+            return self._part_rows(parts[0])
+        rows = self._part_rows(parts[0]).withColumn("part", F.lit(parts[0]))
+        for part in parts[1:]:
+            rows = rows.unionByName(self._part_rows(part).withColumn("part", F.lit(part)))
         return self._latest_per_key(rows, ["part"]).select(*self.schema.names)
 
+    def _part_rows(self, part: str) -> DataFrame:
+        """A part in the table's columns; one written before a column was added holds that column's default."""
+        stored = self.spark.read.parquet(self._part(part))
+        if set(self.schema.names) <= set(stored.columns):
+            return self.spark.read.schema(self.schema).parquet(self._part(part))
+        return migrate(stored, self.name).select(*(F.col(f.name).cast(f.dataType) for f in self.schema))
+
     def _latest_per_key(self, rows: DataFrame, order: list[str]) -> DataFrame:
         kept = last_per_unique_key(rows, self.keys, order)
         if not self.preserve_created_at:
@@ -109,13 +113,15 @@ class KeyedTable:
     def upsert(self, rows: DataFrame) -> "KeyedTable":
         """Replace rows of the same key and add the others.
 
-        Of rows in the batch that share a key, the one with the highest ``seq`` counts; a batch without
-        that column must not repeat a key.
+        Of rows in the batch that share a key, the one with the highest ``seq`` counts. Without that column, or
+        where it ties, one of them does, chosen by a hash of the row, so the same batch always leaves the same table.
         """
         number, parts = self._latest()
         batch = self.conform(rows)
-        if "seq" in batch.columns:
-            batch = last_per_unique_key(batch, self.keys, ["seq"]).drop("seq")
+        content = [c for c in self.schema.names if c not in ("created_at", "updated_at")]
+        hashed = batch.withColumn("_hash", F.xxhash64(*content))
+        order = ["seq", "_hash"] if "seq" in batch.columns else ["_hash"]
+        batch = last_per_unique_key(hashed, self.keys, order).drop("seq", "_hash")
         part = self._new_part(number + 1)
         batch.write.parquet(self._part(part))
         if self.spark.read.schema(self.schema).parquet(self._part(part)).isEmpty():
@@ -154,11 +160,15 @@ class KeyedTable:
         return self
 
     def purge(self) -> "KeyedTable":
-        """Delete parts the current manifest no longer names; run when no reader is on an older one."""
+        """Delete older manifests, and parts the current one no longer names; run when no reader is on an older one."""
         live = {f"part={p}" for p in self._latest()[1]}
         for name in files.names(self.spark, self.path):
             if name.startswith("part=") and name not in live:
                 files.remove(self.spark, f"{self.path}/{name}")
+        newest = self._latest()[0]
+        for name in files.names(self.spark, f"{self.path}/_manifests"):
+            if name.endswith(".json") and int(name[:-5]) < newest:
+                files.remove(self.spark, f"{self.path}/_manifests/{name}")
         return self
 
 

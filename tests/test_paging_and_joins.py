@@ -81,9 +81,14 @@ def test_salted_join_equals_the_plain_join(spark, how):
 def test_hot_keys_are_few_and_cut_small(spark, monkeypatch):
     hot = joins.hot_keys(skewed(spark), ["asin"], min_rows=150)
     assert [(r.asin, r.pieces) for r in hot.collect()] == [("hot", 7)]
-    monkeypatch.setattr(joins, "HOT_KEYS", 3)
-    few = joins.hot_keys(skewed(spark), ["asin"], min_rows=1).collect()
-    assert len(few) == 3 and few[0].asin == "hot"
+    monkeypatch.setattr(joins, "HOT_KEYS", 10)  # above a tenth of all rows a key is hot, whatever the least number
+    assert [(r.asin, r.pieces) for r in joins.hot_keys(skewed(spark), ["asin"], min_rows=1).collect()] == [("hot", 4)]
+
+
+def test_every_hot_key_is_cut(spark):
+    rows = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id") % 3_000).alias("asin"), F.col("id").alias("n"))
+    hot = joins.hot_keys(rows, ["asin"], min_rows=4)
+    assert hot.count() == 3_000 and {r.pieces for r in hot.collect()} == {3}
 
 
 def test_one_per_key_is_cut_before_the_shuffle(spark):
