@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,28 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside. No result that reads it may outlive the block."""
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        while len(_staged) > first:
+            files.remove(spark, _staged.pop())
+
+
+def staged_alone(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """``stage`` for a result that needs staged steps of its own: those are deleted once it is written."""
+    first = len(_staged)
+    out = stage(build())
+    own = _staged.pop()
+    while len(_staged) > first:
+        files.remove(spark, _staged.pop())
+    _staged.append(own)
+    return out
+
+
 def release_staged(spark: SparkSession) -> None:
     """Delete what ``stage`` wrote, once no result built on it is needed any more."""
     while _staged:
