@@ -34,6 +34,8 @@ WORDS = {
 }
 DOUBTS = {"example", "sample", "test", "version", "isbn", "dummy"}
 NEARBY = 60
+#: Least score of what the pipeline masks: only confirmed spans with several doubts around them stay.
+LEAST = 0.3
 STEP = 0.1
 WORD = re.compile(r"[a-z]+")
 MASK = {kind: f"<{kind}>" for kind in KINDS}
@@ -101,7 +103,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     return [(k, a, b, score(text, k, a, b)) for k, a, b in (*base_spans(text), *more_spans(text))]
 
 
-def redact(text: str | None, least: float = 0.5) -> str | None:
+def redact(text: str | None, least: float = LEAST) -> str | None:
     """The text with the spans of at least that score replaced by their kinds; overlapping spans are one, named by the first."""
     if not text:
         return text
@@ -143,7 +145,7 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", least: float = 0.5) -> DataFrame:
+def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", least: float = LEAST) -> DataFrame:
     """``docs`` with all columns and rows, personal data in the text replaced and the length column, if there is one, counted anew.
 
     Texts without such data stay as they are; a null text stays null and keeps its length.

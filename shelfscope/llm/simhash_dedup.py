@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from shelfscope.llm.common import look_up, only_ids, without_ids
 from shelfscope.llm.components import components
-from shelfscope.session import stage
+from shelfscope.session import stage, staged_alone
 
 #: Words of a shingle, seed, and bits by which linked fingerprints may differ.
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Near copies: words of a shingle and least share of common shingles, and seeds of the fingerprints that propose pairs.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_SEEDS = 5, 0.8, (42, 43, 44, 45)
+#: Bits by which fingerprints of the shingles may differ in a pair that is still compared exactly. Texts that share 0.8 of their shingles
+#: differ in 9.7 bits on average, with a deviation of 2.9; texts that share none in 32.
+COPY_BITS = 22
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -120,28 +123,41 @@ def near_copies(
     """(doc_id, copy_of) for each row that is linked to a smaller id: the smallest id of its group.
 
     Texts with the same words are copies. Of different texts, pairs are proposed by fingerprints of their words (under each seed, within
-    two bits) and linked if they share ``similarity`` of their shingles (common by all different ones). Texts without words are copies of
-    each other. Rows without an id take no part.
+    two bits), left if their numbers of shingles or the fingerprints of these are far apart, and linked if they share
+    ``similarity`` of their shingles (common by all different ones). Texts without words are copies of each other. Rows without an
+    id take no part.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, prints = [], []
+            same, prints, size, whole = [], [], [], []
             for t in b.column(1).to_pylist():
                 own = words(t)
                 same.append(int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(own))).astype(np.int64)))
                 count = Counter(own)
                 weights = np.fromiter(count.values(), dtype=np.int64, count=len(count))
                 prints.append([fingerprint(hashes(count, s), weights) for s in seeds])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "same", "prints"])
+                grams = np.unique(hashes(shingles(own, shingle), SEED))  # a set: repeats do not count for the share
+                size.append(len(grams))
+                whole.append(fingerprint(grams))
+            columns = [b.column(0), pa.array(same, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(size, pa.int32()), pa.array(whole, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "prints", "size", "whole"])
 
-    rows = stage(narrow.mapInArrow(run, "doc_id long, same long, prints array<long>"))
+    rows = stage(narrow.mapInArrow(run, "doc_id long, same long, prints array<long>, size int, whole long"))
     # One node per text: its smallest id. Equal words have equal fingerprints.
-    nodes = stage(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints"), F.count("*").alias("n")))
+    nodes = stage(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints"), F.first("size").alias("size"), F.first("whole").alias("whole"), F.count("*").alias("n")))
     emitted = nodes.select("node", F.explode("prints").alias("print")).distinct().select("node", F.explode(variants(F.col("print"))).alias("variant"))
-    pairs = stage(chains(emitted, "node").distinct())
-    linked = components(_verified(pairs, narrow, shingle, similarity))
+
+    def links() -> DataFrame:
+        met = chains(emitted, "node").distinct()
+        a, b = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("whole").alias(f"{n}_whole")) for n in ("u", "v"))
+        near = F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size")
+        alike = F.bit_count(F.col("u_whole").bitwiseXOR(F.col("v_whole"))) <= COPY_BITS
+        pairs = stage(met.join(a, "u").join(b, "v").where(near & alike).select("u", "v"))
+        return components(_verified(pairs, narrow, shingle, similarity))
+
+    linked = staged_alone(docs.sparkSession, links)
     first = nodes.join(linked, nodes["node"] == linked["node"], "left").select("same", "n", F.coalesce("least", nodes["node"]).alias("copy_of"))
     return look_up(rows.select("doc_id", "same"), stage(first), "same", "n").select("doc_id", "copy_of").where("copy_of < doc_id")
 
@@ -168,7 +184,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows without an id stay as they are.
     """
-    drop = stage(near_copies(docs, id_col=id_col, text_col=text_col).select("doc_id"))
+    drop = staged_alone(docs.sparkSession, lambda: near_copies(docs, id_col=id_col, text_col=text_col).select("doc_id"))
     kept = without_ids(docs, drop, id_col)
     repeated = stage(docs.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull()).select(id_col))
     if repeated.isEmpty():
