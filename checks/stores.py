@@ -350,12 +350,19 @@ def brand_export(spark, sf):
 
 @query("every_brand_export", """
 SELECT 'products' AS part, brand, count(*) AS n FROM products GROUP BY brand
-UNION ALL SELECT 'search_results', brand, count(*) FROM (SELECT DISTINCT asin, search_keyword, brand FROM search_results) GROUP BY brand""", *SRP)
+UNION ALL SELECT 'search_results', brand, count(*) FROM (SELECT DISTINCT asin, search_keyword, brand FROM search_results) GROUP BY brand
+UNION ALL SELECT 'reviews', brand, count(*) FROM (SELECT DISTINCT asin, review_id, brand FROM reviews) GROUP BY brand
+UNION ALL SELECT 'merged', s.brand, count(*) FROM (SELECT DISTINCT asin, search_keyword, brand FROM search_results) s LEFT JOIN products p USING (asin) GROUP BY s.brand
+UNION ALL SELECT 'review_count', s.brand, sum(coalesce(c.n, 0)) FROM (SELECT DISTINCT asin, search_keyword, brand FROM search_results) s LEFT JOIN products p USING (asin)
+ LEFT JOIN (SELECT asin, brand, count(*) AS n FROM (SELECT DISTINCT asin, review_id, brand FROM reviews) GROUP BY asin, brand) c ON c.asin = s.asin AND c.brand = s.brand GROUP BY s.brand""", *SRP)
 def every_brand_export(spark, sf):
     store, folder = _filled(spark, sf), scratch_path(spark, "export")
     records.export_every_brand(store, folder)
-    parts = [
-        spark.read.parquet(f"{folder}/{n}").groupBy("brand").agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "brand", "n")
-        for n in ("products", "search_results")
-    ]
-    return parts[0].unionByName(parts[1])
+    read = lambda n: spark.read.parquet(f"{folder}/{n}")
+    parts = [read(n).groupBy("brand").agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "brand", "n") for n in ("products", "search_results", "reviews")]
+    merged = read("merged").groupBy(F.col("search_brand").alias("brand")).agg(F.count("*").alias("n"), F.sum("review_count").alias("counted"))
+    parts += [merged.select(F.lit("merged").alias("part"), "brand", "n"), merged.select(F.lit("review_count").alias("part"), "brand", F.col("counted").alias("n"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -26,6 +26,16 @@ def review_counts(reviews: DataFrame, brand: str | None = None) -> DataFrame:
     return reviews.groupBy("asin").agg(F.count("*").alias("review_count"))
 
 
+def merged_per_brand(search: DataFrame, products: DataFrame, reviews: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+    """The merged rows of all brands at once, under ``search_brand``: those that ``merged_view`` gives for each brand in turn."""
+    listings = search.select(*FROM_SEARCH, F.col("brand").alias("search_brand"))
+    counts = reviews.groupBy("asin", F.col("brand").alias("search_brand")).agg(F.count("*").alias("review_count"))
+    cut = {"hot": stage(hot_keys(listings.select("asin"), ["asin"], min_rows)), "spread_by": ["search_keyword", "search_brand", "search_rank"]}
+    rows = salted_join(listings, products.select("asin", *FROM_PRODUCT), "asin", "left", **cut)
+    rows = salted_join(rows, counts, ["asin", "search_brand"], "left", **cut)
+    return rows.select("search_brand", *FROM_SEARCH, *FROM_PRODUCT, F.coalesce("review_count", F.lit(0)).alias("review_count"))
+
+
 def merged_view(
     search: DataFrame,
     products: DataFrame,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfscope.operators import extract_product, extract_review, extract_search, filters, merged, paging, stats
@@ -12,7 +12,7 @@ from shelfscope.operators.dedup import first_listing, newest_page
 from shelfscope.operators.joins import in_work_list
 from shelfscope.operators.quality import is_blocked, is_captcha, is_refused
 from shelfscope.operators.ranking import top_for_review
-from shelfscope.session import stage
+from shelfscope.session import scratch_scope, stage
 from shelfscope.sources import records
 from shelfscope.sources.tables import Store
 
@@ -53,7 +53,10 @@ def for_asins(pages: DataFrame, asins: DataFrame, extract) -> DataFrame:
 
 
 # ---- search -----------------------------------------------------------------------------------
-def search_listings(pages: DataFrame, settings: Settings, run_brand: str = "", keywords: list[str] | None = None) -> DataFrame:
+def search_listings(
+    pages: DataFrame, settings: Settings, run_brand: str = "", keywords: list[str] | None = None, observed: Observation | None = None
+) -> DataFrame:
+    """First listings of target brands. ``observed`` gets how many items the brand filter kept and rejected, as the rows pass."""
     pages = _of_kind(pages, "search")
     if keywords:
         ordinal = F.create_map(*[v for n, k in enumerate(keywords) for v in (F.lit(k), F.lit(n))])
@@ -64,16 +67,20 @@ def search_listings(pages: DataFrame, settings: Settings, run_brand: str = "", k
     read = extract_search.search_candidates(capped).withColumn("has_next", F.col("has_next") | F.col("refused"))
     current = paging.until_last_page(newest_page(read, ["keyword", "page_no"], bad="refused").where(~F.col("refused")).drop("refused"))
     items = extract_search.search_items(current)
-    kept = filters.keep_target_brands(
-        items, settings.targets(run_brand), settings.brand_match_mode, settings.filter_by_brand
-    )
+    hit = filters.is_target_brand(F.col("brand"), settings.targets(run_brand), settings.brand_match_mode, settings.filter_by_brand)
+    if observed is not None:
+        items = items.observe(observed, F.count_if(hit).alias("kept"), F.count_if(~hit).alias("rejected"))
+    kept = items.where(hit)
     return filters.with_run_brand(first_listing(kept), run_brand)
 
 
 def run_search(
     pages: DataFrame, store: Store, folder: str, settings: Settings, run_brand: str = "", keywords: list[str] | None = None
 ) -> DataFrame:
-    found = stage(search_listings(pages, settings, run_brand, keywords))
+    observed = Observation("brand filter")
+    found = stage(search_listings(pages, settings, run_brand, keywords, observed))
+    spark = pages.sparkSession
+    spark.createDataFrame([observed.get], "kept bigint, rejected bigint").write.mode("overwrite").json(f"{folder}/search_outcome")
     store["search_results"].upsert(found)
     records.save_json(found.drop("page_id", "page_kind", "keyword_ord", "page_no", "pos", "fetched_at"), f"{folder}/search_results.json")
     return found
@@ -97,10 +104,12 @@ def run_products(
     """Listed asins without a product, or the given ones."""
     if asins is None:
         asins = merged.pending_products(store.read("search_results"), store.read("products"))
+    asins = stage(asins.select("asin").distinct())
     rows = for_asins(pages, asins, lambda some: product_details(some, settings, run_brand))
     found = stage(filters.with_run_brand(rows, run_brand).drop("page_id", "page_kind", "keyword_ord", "page_no", "fetched_at"))
     store["products"].upsert(extract_product.with_star_columns(found))
     records.save_json(found, f"{folder}/products.json")
+    stats.outcomes(asins, found).write.mode("overwrite").parquet(f"{folder}/product_outcomes")
     return found
 
 
@@ -144,10 +153,11 @@ def run_reviews(
 
 # ---- whole runs -------------------------------------------------------------------------------
 def run_all(pages: DataFrame, store: Store, folder: str, settings: Settings, keywords: list[str] | None = None) -> DataFrame:
-    run_search(pages, store, folder, settings, keywords=keywords)
-    run_products(pages, store, folder, settings)
-    run_reviews(pages, store, folder, settings)
-    records.export_all(store, folder)
+    with scratch_scope(pages.sparkSession):
+        run_search(pages, store, folder, settings, keywords=keywords)
+        run_products(pages, store, folder, settings)
+        run_reviews(pages, store, folder, settings)
+        records.export_all(store, folder)
     return stored_stats(store)
 
 
@@ -161,22 +171,25 @@ def run_brand_stage(
     keywords: list[str] | None = None,
 ) -> DataFrame:
     """One brand through one stage, then that brand's export and figures."""
-    if stage_name == "search":
-        run_search(pages, store, folder, settings, brand, keywords)
-    elif stage_name == "products":
-        run_products(pages, store, folder, settings, brand)
-    elif stage_name == "reviews":
-        run_reviews(pages, store, folder, settings, brand)
-    else:
-        raise ValueError(f"no such stage: {stage_name}")
-    records.export_brand(store, folder, brand)
+    with scratch_scope(pages.sparkSession):
+        if stage_name == "search":
+            run_search(pages, store, folder, settings, brand, keywords)
+        elif stage_name == "products":
+            run_products(pages, store, folder, settings, brand)
+        elif stage_name == "reviews":
+            run_reviews(pages, store, folder, settings, brand)
+        else:
+            raise ValueError(f"no such stage: {stage_name}")
+        records.export_brand(store, folder, brand)
     return stored_stats(store, brand)
 
 
 def run_reviews_from_csv(pages: DataFrame, store: Store, folder: str, settings: Settings, csv_path: str) -> DataFrame:
+    """The reviews found stay staged for the caller; what the export staged does not."""
     seed = records.csv_seed(pages.sparkSession, csv_path)
     found = run_reviews(pages, store, folder, settings, asins=seed)
-    records.export_all(store, folder)
+    with scratch_scope(pages.sparkSession):
+        records.export_all(store, folder)
     return found
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.operators.flatten import flatten, with_json_text
-from shelfscope.operators.merged import MERGED_ORDER, merged_view
-from shelfscope.operators.stats import brand_progress, brand_stats, price_distribution, review_stats, table_counts
+from shelfscope.operators.merged import MERGED_ORDER, merged_per_brand, merged_view
+from shelfscope.operators.stats import brand_dashboards, brand_progress, brand_stats, price_distribution, review_stats, table_counts
 from shelfscope.functions import text as X
 from shelfscope.session import stage
 from shelfscope.sources import files
@@ -163,11 +163,15 @@ def export_brand(store: Store, folder: str, brand: str) -> dict[str, str]:
 
 
 def export_every_brand(store: Store, folder: str) -> None:
-    """All brands in one pass per table, one sub-folder per brand.
+    """All brands in one pass per table, one sub-folder per brand: the three tables and the merged rows; and one table of figures.
 
     Rebalancing by brand keeps a brand in few files and splits one that is too large for a task. Folders are named by
     the brand behind a sign of equality, so an empty brand ("=") and an unknown one ("none") stay apart; rows keep their brand.
     """
-    for name in ("search_results", "products", "reviews"):
-        rows = flatten(store.read(name)).withColumn("brand_folder", F.coalesce(F.concat(F.lit("="), "brand"), F.lit("none")))
+    search, products, reviews = (store.read(n) for n in ("search_results", "products", "reviews"))
+    tables = {"search_results": search, "products": products, "reviews": reviews, "merged": merged_per_brand(search, products, reviews)}
+    for name, table in tables.items():
+        own = "search_brand" if name == "merged" else "brand"
+        rows = flatten(table).withColumn("brand_folder", F.coalesce(F.concat(F.lit("="), own), F.lit("none")))
         rows.hint("rebalance", "brand_folder").write.mode("overwrite").partitionBy("brand_folder").parquet(f"{folder}/{name}")
+    brand_dashboards(search, products, reviews).write.mode("overwrite").parquet(f"{folder}/figures")

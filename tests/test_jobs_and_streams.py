@@ -46,6 +46,16 @@ def test_a_second_run_has_nothing_left_to_do(spark, folder, pages):
     assert store.read("products").select("updated_at").first() == before
 
 
+def test_jobs_tell_what_came_of_them(spark, folder, pages):
+    store = Store(spark, f"{folder}/store").create()
+    asins = spark.createDataFrame([("B0TEST0001",), ("B0ABSENT01",)], "asin string")
+    jobs.run_products(pages, store, f"{folder}/files", jobs.Settings(), asins=asins)
+    got = spark.read.parquet(f"{folder}/files/product_outcomes").collect()
+    assert {(r.asin, r.succeeded) for r in got} == {("B0TEST0001", True), ("B0ABSENT01", False)}
+    jobs.run_search(pages, store, f"{folder}/files", jobs.Settings(filter_by_brand=True, target_brands=["nobody"]))
+    assert [tuple(r) for r in spark.read.json(f"{folder}/files/search_outcome").select("kept", "rejected").collect()] == [(0, 2)]
+
+
 def test_long_work_lists_are_joined_after_extraction(spark, folder, pages, monkeypatch):
     asins = spark.createDataFrame([("B0OTHER001",)], "asin string")
     short = jobs.for_asins(pages, asins, lambda p: jobs.product_details(p, jobs.Settings()))
@@ -118,6 +128,48 @@ def test_an_empty_upsert_adds_no_part(spark, folder):
     assert store["products"]._latest()[1] == []
 
 
+def test_whole_runs_and_streams_leave_no_scratch(spark, folder, pages):
+    from shelfscope import session
+
+    session.release_staged(spark)
+    store, settings = Store(spark, f"{folder}/store").create(), jobs.Settings()
+    jobs.run_all(pages, store, f"{folder}/files", settings)
+    assert session._staged == []
+    for part in (0, 1, 2):
+        write_pages(pages.where((F.col("page_kind") == "review") & (F.col("page_no") == part + 1)), f"{folder}/pages")
+        incremental.stream_reviews(incremental.page_stream(spark, f"{folder}/pages"), store, settings, f"{folder}/mark", f"{folder}/extracted").awaitTermination()
+    assert session._staged == []
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from shelfscope import session
+
+    def conf(_key):
+        from pyspark.errors import PySparkException
+
+        raise PySparkException("not set")
+
+    on_cluster = SimpleNamespace(conf=SimpleNamespace(get=conf), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        session.scratch_root(on_cluster)
+    assert session.is_single_machine("local[8]") and not session.is_single_machine("local-cluster[3,2,1024]")
+
+
+def test_an_apology_in_a_review_is_no_refusal(spark, pages):
+    html = F.when(F.col("url").contains("pageNumber=2"), F.concat(F.col("html"), F.lit("<p>we're sorry</p>"))).otherwise(F.col("html"))
+    read = jobs.review_page_candidates(pages.withColumn("html", html), 10)
+    assert [r.bad for r in read.where("page_no = 2").collect()] == [False]
+
+
+def test_a_page_that_cannot_be_read_is_counted_as_unreadable(spark):
+    from shelfscope.operators import extract_review
+
+    rows = spark.createDataFrame([(1, "B1", 1, "<p>&#" + "9" * 5000 + ";</p>")], "page_id long, asin string, page_no int, html string")
+    assert [r.unreadable for r in extract_review.review_candidates(rows).collect()] == [True]
+
+
 def test_staged_results_can_be_released(spark, folder):
     from shelfscope import session
     from shelfscope.sources import files
