@@ -27,8 +27,9 @@ from shelfscope.session import stage
 FIT_ROWS, MODEL_TOKENS = 20_000, 50_000
 #: Letters of a word's beginning that stand for unknown words.
 BEGINNING = 5
-#: Weight of the prior in tokens, least surety of a kept token (in standard deviations), and what is taken off each token's score.
-PRIOR, SURETY, DRIFT = 1000.0, 4.0, 0.25
+#: Weight of the prior as a share of all counted tokens, so that it weighs alike at every size; least surety of a kept token (in
+#: standard deviations); and what is taken off each token's score.
+PRIOR, SURETY, DRIFT = 0.05, 3.0, 0.25
 #: Expected number of segments so large in a harmless text below which a segment is significant.
 EVALUE = 0.05
 FOLDS = 5
@@ -136,8 +137,8 @@ def token_scores(texts: DataFrame, most: int) -> dict[str, float]:
     n1, n0 = counted.agg(F.sum("a"), F.sum("b")).first()
     if not n1 or not n0:
         return {}
-    alpha = PRIOR * (F.col("a") + F.col("b")) / (n1 + n0)
-    odds = lambda y, n: F.log((F.col(y) + alpha) / (n + PRIOR - F.col(y) - alpha))
+    alpha, total = PRIOR * (F.col("a") + F.col("b")), PRIOR * (n1 + n0)
+    odds = lambda y, n: F.log((F.col(y) + alpha) / (n + total - F.col(y) - alpha))
     judged = counted.select("token", (odds("a", n1) - odds("b", n0)).alias("score"), F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha)).alias("error"))
     sure = judged.select("token", "score", (F.abs("score") / F.col("error")).alias("z")).where(F.col("z") >= SURETY)
     return {r["token"]: r["score"] for r in sure.orderBy(F.desc("z"), "token").limit(most).collect()}
