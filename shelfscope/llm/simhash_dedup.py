@@ -5,32 +5,35 @@ its 64 neighbours, and fingerprints that share a variant meet. All that meet are
 fingerprints of a variant links the same classes as all its pairs would; a variant has 65 fingerprints at most. Copies of a
 fingerprint are one row before anything is emitted.
 
-``near_copies`` uses the same meeting for word shingles: fingerprints of words under several seeds propose, the shares of common
-shingles decide.
+``near_copies`` finds all pairs of texts that share enough of their word shingles: of two such texts, the rarest shingles, as many as
+may be lacking and one, have one in common. Texts meet under these; numbers of shingles and sketches refuse pairs that cannot be near,
+the shares of common shingles decide.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import look_up, only_ids, without_ids
+from shelfscope.llm.common import look_up, only_ids, side, without_ids
 from shelfscope.llm.components import components
 from shelfscope.session import stage, staged_alone
 
 #: Words of a shingle, seed, and bits by which linked fingerprints may differ.
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Near copies: words of a shingle and least share of common shingles, and seeds of the fingerprints that propose pairs.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_SEEDS = 5, 0.8, (42, 43, 44, 45)
-#: Bits by which fingerprints of the shingles may differ in a pair that is still compared exactly. Texts that share 0.8 of their shingles
-#: differ in 9.7 bits on average, with a deviation of 2.9; texts that share none in 32.
-COPY_BITS = 22
+#: Near copies: words of a shingle and least share of common shingles.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+#: Buckets in which shingles are counted for their order, and bits of the sketch by which pairs are refused without their shingles.
+BUCKETS, SKETCH_BITS = 1 << 18, 512
+#: Texts of a shingle that meet in one piece of work.
+CELL = (256, 4096)
+_BUCKET, _MIX = np.uint64(BUCKETS - 1), np.uint64(0x9E3779B97F4A7C15)
+_SKETCH = [f"bits{i}" for i in range(SKETCH_BITS // 64)]
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -116,66 +119,177 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def gram_set(own: list[bytes], k: int) -> np.ndarray:
+    """Different hashes of the ``shingles`` of a text, sorted: a set, repeats do not count for the share."""
+    if not own:
+        return np.empty(0, dtype=np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(own)}
+    each = np.fromiter(map(known.__getitem__, own), dtype=np.uint64, count=len(own))
+    k = min(k, len(own))
+    mixed = np.zeros(len(own) - k + 1, dtype=np.uint64)
+    for i in range(k):
+        mixed = (mixed + each[i : i + len(mixed)]) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the hashes in SKETCH_BITS buckets as signed words: two sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((grams >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def rarest(grams: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rarest first: two sets that share ``similarity`` of their shingles have one of these in common.
+
+    What order all texts follow does not matter for that; rare ones first keeps few texts to a shingle.
+    """
+    lead = len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1
+    return grams[np.lexsort((grams, often[(grams & _BUCKET).astype(np.int64)]))[:lead]]
+
+
+def text_key(own: list[bytes]) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(own))).astype(np.int64))
+
+
 def near_copies(
-    docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, seeds: tuple[int, ...] = COPY_SEEDS,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, copy_of) for each row that is linked to a smaller id: the smallest id of its group.
 
-    Texts with the same words are copies. Of different texts, pairs are proposed by fingerprints of their words (under each seed, within
-    two bits), left if their numbers of shingles or the fingerprints of these are far apart, and linked if they share
-    ``similarity`` of their shingles (common by all different ones). Texts without words are copies of each other. Rows without an
-    id take no part.
+    Texts with the same words are copies. Different texts are linked if they share ``similarity`` of their shingles (common by all
+    different ones); all such pairs count, directly or over a chain of them. Texts without words are copies of each other. Rows
+    without an id take no part.
     """
+    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(BUCKETS, dtype=np.int64)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(_SKETCH), pa.list_(pa.int64())]
+        names = ["doc_id", "same", "size", *_SKETCH, "often"]
         for b in batches:
-            same, prints, size, whole = [], [], [], []
+            same, size, bits = [], [], []
             for t in b.column(1).to_pylist():
                 own = words(t)
-                same.append(int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(own))).astype(np.int64)))
-                count = Counter(own)
-                weights = np.fromiter(count.values(), dtype=np.int64, count=len(count))
-                prints.append([fingerprint(hashes(count, s), weights) for s in seeds])
-                grams = np.unique(hashes(shingles(own, shingle), SEED))  # a set: repeats do not count for the share
+                grams = gram_set(own, shingle)
+                same.append(text_key(own))
                 size.append(len(grams))
-                whole.append(fingerprint(grams))
-            columns = [b.column(0), pa.array(same, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(size, pa.int32()), pa.array(whole, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "prints", "size", "whole"])
-
-    rows = stage(narrow.mapInArrow(run, "doc_id long, same long, prints array<long>, size int, whole long"))
-    # One node per text: its smallest id. Equal words have equal fingerprints.
-    nodes = stage(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints"), F.first("size").alias("size"), F.first("whole").alias("whole"), F.count("*").alias("n")))
-    emitted = nodes.select("node", F.explode("prints").alias("print")).distinct().select("node", F.explode(variants(F.col("print"))).alias("variant"))
+                bits.append(sketch(grams))
+                np.add.at(often, (grams & _BUCKET).astype(np.int64), 1)
+            columns = [b.column(0), same, size, *np.array(bits, dtype=np.int64).reshape(-1, len(_SKETCH)).T, [None] * len(same)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        held = np.flatnonzero(often)
+        last = [[None], [None], [None], *[[None]] * len(_SKETCH), [held << 32 | often[held]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(last, kinds)], names)
+
+    both = stage(narrow.mapInArrow(run, f"doc_id long, same long, size int, {', '.join(f'{c} long' for c in _SKETCH)}, often array<long>"))
+    rows = both.where("doc_id IS NOT NULL")
+    counted = both.where("doc_id IS NULL").select(F.explode("often").alias("x")).groupBy(F.expr("x >> 32").alias("bucket")).agg(F.sum(F.expr("x & 4294967295")).alias("n"))
+    # One node per text, whatever ids share it.
+    nodes = stage(rows.groupBy("same").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", *_SKETCH)), F.count("*").alias("n")))
 
     def links() -> DataFrame:
-        met = chains(emitted, "node").distinct()
-        a, b = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("whole").alias(f"{n}_whole")) for n in ("u", "v"))
-        near = F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size")
-        alike = F.bit_count(F.col("u_whole").bitwiseXOR(F.col("v_whole"))) <= COPY_BITS
-        pairs = stage(met.join(a, "u").join(b, "v").where(near & alike).select("u", "v"))
-        return components(_verified(pairs, narrow, shingle, similarity))
+        often = np.zeros(BUCKETS, dtype=np.int64)
+        for r in counted.collect():
+            often[r["bucket"]] = r["n"]
+        posted = _posted(narrow, nodes, often, shingle, similarity)
+        first = stage(_verified(_chained(posted, similarity), nodes, narrow, shingle, similarity))
+        classes = stage(components(first))
+        left = stage(_verified(_between(posted, classes, similarity), nodes, narrow, shingle, similarity))
+        return components(first.union(left)) if not left.isEmpty() else classes
 
-    linked = staged_alone(docs.sparkSession, links)
-    first = nodes.join(linked, nodes["node"] == linked["node"], "left").select("same", "n", F.coalesce("least", nodes["node"]).alias("copy_of"))
-    return look_up(rows.select("doc_id", "same"), stage(first), "same", "n").select("doc_id", "copy_of").where("copy_of < doc_id")
+    linked = staged_alone(spark, links)
+    labelled = stage(nodes.join(linked, nodes["same"] == linked["node"], "left").select("same", "first", "n", F.coalesce("least", "same").alias("least")))
+    smallest = stage(labelled.groupBy("least").agg(F.min("first").alias("copy_of"), F.count("*").alias("n_least")))
+    named = look_up(labelled, smallest, "least", "n_least").select("same", "n", "copy_of")
+    return look_up(rows.select("doc_id", "same"), stage(named), "same", "n").select("doc_id", "copy_of").where("copy_of < doc_id")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) that share enough shingles. Only texts of some pair are cut into shingles again."""
-    asked = pairs.select("u").union(pairs.select("v")).distinct()
+def _posted(texts: DataFrame, nodes: DataFrame, often: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(gram, n, same, size, sketch): each text under its rarest shingles, those that no other text is under left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(np.repeat(np.array(same, dtype=np.int64), [len(g) for g in lead])), pa.array(np.concatenate(lead).astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["same", "gram"])
+
         for b in batches:
-            sets = [np.unique(hashes(shingles(words(t), shingle), SEED)).astype(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
+            same, lead, held = [], [], 0
+            for t in b.column(1).to_pylist():
+                own = words(t)
+                grams = gram_set(own, shingle)
+                if len(grams):
+                    same.append(text_key(own))
+                    lead.append(rarest(grams, often, similarity))
+                    held += len(lead[-1])
+                if held > 100_000:
+                    yield out()
+                    same, lead, held = [], [], 0
+            if lead:
+                yield out()
+
+    postings = stage(texts.mapInArrow(run, "same long, gram long"))
+    met = stage(postings.groupBy("gram").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.count("*").alias("n")).where("a <> b").select("gram", "n"))
+    return stage(postings.join(side(met), "gram").distinct().join(nodes.select("same", "size", *_SKETCH), "same"))
+
+
+def _may(similarity: float) -> Column:
+    """Whether texts u and v may share enough shingles by their numbers and sketches; no pair that does is refused."""
+    differ = sum((F.bit_count(F.col(f"u.{c}").bitwiseXOR(F.col(f"v.{c}"))) for c in _SKETCH), F.lit(0))
+    both = F.col("u.size") + F.col("v.size")
+    near = F.least("u.size", "v.size") >= similarity * F.greatest("u.size", "v.size") - 1e-9
+    return near & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
+def _chained(posted: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of each text with the next one under a shingle, in an order that differs by shingle: links most of a large group at little cost."""
+    text = F.struct("same", "size", *_SKETCH)
+    spread = F.pmod(F.xxhash64("same", "gram"), F.ceil(F.col("n") / CELL[0]))
+    by = Window.partitionBy("gram", "piece").orderBy(F.xxhash64("gram", "same"), "same")
+    pairs = posted.withColumn("piece", spread).select(text.alias("u"), F.lag(text).over(by).alias("v")).where("v IS NOT NULL").where(_may(similarity))
+    return pairs.select(F.least("u.same", "v.same").alias("u"), F.greatest("u.same", "v.same").alias("v")).distinct()
+
+
+def _between(posted: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) of texts that meet under a shingle, may be near and are in different classes.
+
+    Under a shingle, texts outside the largest class meet all texts; where these are many, both sides are cut into pieces and each
+    piece of one meets each piece of the other.
+    """
+    named = stage(posted.join(classes, posted["same"] == classes["node"], "left").select("gram", "same", "size", *_SKETCH, F.coalesce("least", "same").alias("class")))
+    per = named.groupBy("gram", "class").agg(F.count("*").alias("k"))
+    per = per.groupBy("gram").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+    per = per.select("gram", "main", F.ceil(F.col("others") / CELL[0]).cast("int").alias("p"), F.ceil(F.col("n") / CELL[1]).cast("int").alias("q"))
+    cut = stage(named.join(side(stage(per)), "gram"))
+    text = F.struct("same", "size", *_SKETCH, "class", "main")
+    piece = lambda n: F.pmod(F.xxhash64("same", "gram"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    u = cut.where("class <> main").select("gram", text.alias("u"), piece("p").alias("p"), all_of("q").alias("q"))
+    v = cut.select("gram", text.alias("v"), piece("q").alias("q"), all_of("p").alias("p"))
+    once = (F.col("v.class") == F.col("v.main")) | (F.col("u.same") < F.col("v.same"))
+    pairs = u.join(v, ["gram", "p", "q"]).where((F.col("u.class") != F.col("v.class")) & once & _may(similarity))
+    return pairs.select(F.least("u.same", "v.same").alias("u"), F.greatest("u.same", "v.same").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) that share enough shingles. Only texts of some pair are cut into shingles again."""
+    pairs = stage(pairs)
+    asked = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
 
-    grams = stage(only_ids(texts, stage(asked)).mapInArrow(run, "doc_id long, grams array<long>"))
-    a = grams.select(F.col("doc_id").alias("u"), F.col("grams").alias("a"))
-    b = grams.select(F.col("doc_id").alias("v"), F.col("grams").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [words(t) for t in b.column(1).to_pylist()]
+            sets = [gram_set(w, shingle).astype(np.int64) for w in own]
+            yield pa.RecordBatch.from_arrays([pa.array(map(text_key, own), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["same", "grams"])
+
+    ids = stage(nodes.join(asked, "same", "left_semi").select("first"))
+    # An id may stand at other texts too, and at the same one again.
+    grams = stage(only_ids(texts, ids).mapInArrow(run, "same long, grams array<long>").dropDuplicates(["same"]))
+    a = grams.select(F.col("same").alias("u"), F.col("grams").alias("a"))
+    b = grams.select(F.col("same").alias("v"), F.col("grams").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    good = (common >= similarity * (F.size("a") + F.size("b") - common)) & (F.size("a") + F.size("b") > 0)
+    good = (common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9) & (F.size("a") + F.size("b") > 0)
     return pairs.join(a, "u").join(b, "v").where(good).select("u", "v")
 
 

@@ -104,6 +104,28 @@ def test_near_copies_are_near_and_found(documents):
     assert {r["doc_id"] for r in kept.collect()} == set(own) - set(found) and "_listed" in kept.columns
 
 
+def near_groups(own):
+    """Smallest id of each text's group, by comparing all pairs."""
+    sets = {i: set(S.shingles(S.words(t), 5)) for i, t in own.items()}
+    return groups(own, lambda i: [j for j in own if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9])
+
+
+def test_all_pairs_of_near_copies_are_found(documents):
+    """Copies with a passage appended, whose word fingerprints are far apart, and short texts with one edit near an end."""
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    own = {}
+    for i in range(60):
+        n = rng.randint(60, 250)
+        own[i] = rng.choices(vocabulary, k=n)
+        own[1000 - i] = own[i] + rng.choices(vocabulary, k=int(n * rng.uniform(0.05, 0.3)))
+        own[2000 + i] = ["other", *own[i][1:]]
+    own = {i: " ".join(w) for i, w in own.items()}
+    expected = {i: m for i, m in near_groups(own).items() if i != m}
+    assert len(expected) > 100
+    assert {r["doc_id"]: r["copy_of"] for r in S.near_copies(documents(*own.items())).collect()} == expected
+
+
 def test_odd_rows(odd, nothing):
     got = S.near_duplicates(odd).collect()
     assert len(got) == 11 and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
