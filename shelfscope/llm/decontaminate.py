@@ -1,11 +1,11 @@
-"""Benchmark decontamination: windows of a benchmark item's size, SimHash candidates, exact check.
+"""Benchmark decontamination: windows of a benchmark item's size, exact check.
 
 1. A window can only reach the similarity with an item if it holds one of the item's shingles, so windows are laid where a document
    has shingles of the benchmark: each lies as the item would if the common shingle stood at the same place in both.
-2. Each window and each item has a 64-bit SimHash of its shingles, weighted by how often they occur. Fingerprints are cut into blocks; two
-   within the radius differ in at most ``RADIUS // BLOCKS`` bits in some block. An item is listed under its blocks and their neighbours by one
-   bit, a window under its blocks alone, and the two meet on equal blocks among windows and items of one size.
-3. Pairs within the radius are compared exactly: sum of the smaller by sum of the larger weights over all shingles.
+2. Each window is compared exactly with the items that laid it: sum of the smaller by sum of the larger weights over all shingles.
+
+No fingerprint stands between the two: pairs at the similarity differ in ten of 64 bits on average, and any radius loses some.
+``within_radius`` is for callers that have fingerprints only.
 
 Columns and joins only. Documents are read twice: for the places of benchmark shingles, and for the words of windows.
 """
@@ -77,7 +77,7 @@ def find(
         .select("item_id", F.size("words").alias("size"), shingles("words").alias("shingles"))
         .select("item_id", "size", "shingles", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
     )
-    items = stage(items.select("item_id", "size", "shingles", "hashes", simhash("hashes").alias("item_print")).distinct())
+    items = stage(items.distinct())
     places = items.select("item_id", "size", F.posexplode("hashes").alias("place", "hash"))
     known = side(places.select("hash").distinct())
     # Documents and items with fewer words than a shingle have one, at place 0.
@@ -99,9 +99,10 @@ def find(
     held = likely.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).join(hits, F.col("d").eqNullSafe(hits["doc_id"])).select("d", "i", "at", "hash")
     where = side(places.withColumnRenamed("hash", "h"))
     laid = held.join(where, (held["hash"] == where["h"]) & held["i"].eqNullSafe(where["item_id"]))
-    starts = stage(laid.select(F.col("d").alias("doc_id"), "size", F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start")).distinct())
+    pairs = stage(laid.select(F.col("d").alias("doc_id"), "item_id", "size", F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start")).distinct())
+    starts = pairs.select("doc_id", "size", "start").distinct()
     texts = only_ids(own, starts.select("doc_id")).select(F.col("doc_id").alias("id"), words_of(F.col("text")).alias("all"))
-    # A text meets the list of its windows once; equal windows of a text are one, told by the first.
+    # A text meets the list of its windows once; equal windows of a text are one, told by the first, which the same items laid.
     laid_out = starts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("at"))
     cut = F.transform("at", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice("all", w["start"] + 1, w["size"]).alias("words")))
     windows = stage(
@@ -111,10 +112,7 @@ def find(
         .groupBy("doc_id", "size", "words")
         .agg(F.min("start").alias("start"))
         .select("doc_id", "size", "start", shingles("words").alias("shingles"))
-        .select("doc_id", "size", "start", "shingles", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
-        .select("doc_id", "size", "start", "shingles", simhash("hashes").alias("print"))
     )
-    pairs = within_radius(windows, items)
     # Exact check on the shingles themselves.
     w = windows.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("size").alias("z"), "shingles")
     met = pairs.join(w, pairs["doc_id"].eqNullSafe(w["d"]) & (pairs["start"] == w["s"]) & (pairs["size"] == w["z"]))

@@ -46,6 +46,25 @@ def test_planted_passages_are_found_wherever_they_stand(spark, documents):
     assert set(got) == expected and planted <= expected
 
 
+def test_edited_passages_are_found_whatever_their_fingerprints(spark, documents):
+    """One edit in items of 50 words, two or three in longer ones: 0.8 is reached, by many not within any small radius."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(20_000)]
+    items = {i: rng.choices(words, k=rng.choice([50, 60, 97, 140])) for i in range(60)}
+    docs, expected = {}, set()
+    for i, item in items.items():
+        for n in range(10):
+            copy = list(item)
+            for at in rng.sample(range(4, len(copy) - 4), {50: 1, 60: 1, 97: 2, 140: 3}[len(copy)]):
+                copy[at] = "edited"
+            docs[10 * i + n] = rng.choices(words, k=20) + copy + rng.choices(words, k=20)
+            if similarity(copy, item) >= 0.8:
+                expected.add((10 * i + n, i))
+    bench = spark.createDataFrame([(i, " ".join(w), 1, "p") for i, w in items.items()], ITEMS)
+    got = {(r["doc_id"], r["item_id"]) for r in D.find(documents(*((d, " ".join(w)) for d, w in docs.items())), bench).collect()}
+    assert len(expected) > 500 and got == expected
+
+
 def test_repeats_short_items_and_odd_rows(spark, documents, odd, nothing):
     bench = spark.createDataFrame([(1, "la la la la la la la la", 1, "p"), (2, "tiny item", 1, "p"), (3, None, 1, "p"), (4, "", 1, "p"), (5, "one two three four five six " * 3, 1, "p"), (5, "one two three four five six " * 3, 1, "p")], ITEMS)
     docs = documents((1, "la la la la la la la la"), (2, "Tiny item!"), (3, "a tiny item in more words"), (4, None), (4, ""))
