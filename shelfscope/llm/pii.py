@@ -23,6 +23,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", re.ASCII)
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 #: What a span's kind is worth by itself, and the words nearby that raise or lower it.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9}
 WORDS = {
@@ -84,11 +94,25 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.end()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A proposal may run on into the words after a number, or begin before it: each of its prefixes that ends with a word is tried, that of
+    its country's length first, then from the longest on; the search goes on behind a number, or behind the first letter of a failed proposal."""
+    at = 0
+    while m := IBAN.search(text, at):
+        ends = [i for i in range(m.end(), m.start(), -1) if i == m.end() or text[i] == " "]
+        ends.sort(key=lambda i: len(text[m.start() : i].replace(" ", "")) != IBAN_LENGTHS.get(m[0][:2]))
+        for end in ends:
+            bare = text[m.start() : end].replace(" ", "")
+            if 15 <= len(bare) <= 34 and mod97(bare):
+                yield m.start(), end
+                at = end
+                break
+        else:
+            at = m.start() + 1
+
+
 def more_spans(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in IBAN.finditer(text):
-        bare = m[0].replace(" ", "")
-        if 15 <= len(bare) <= 34 and mod97(bare):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", *s) for s in _ibans(text))
 
 
 def score(text: str, kind: str, start: int, stop: int) -> float:

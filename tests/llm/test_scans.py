@@ -91,6 +91,16 @@ def test_pii_patterns_equal_plain_expressions():
     assert [k for k, *_ in pii.more_spans(texts[6])] == ["iban"]
 
 
+def test_account_numbers_among_other_words():
+    bare, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for text, expected in {
+        f"{bare} BIC COBADEFFXXX": [bare], f"{spaced} 2024": [spaced], f"{spaced} GB82 WEST 1234 5698 7654 32": [spaced, "GB82 WEST 1234 5698 7654 32"],
+        f"REF AB12 {bare} BIC": [bare], f"{bare}BIC": [], f"{bare[:-1]}1 BIC": [],
+    }.items():
+        assert [text[a:b] for _, a, b in pii.more_spans(text)] == expected
+        assert pii.redact(text).count("<iban>") == len(expected)
+
+
 def test_context_words_move_the_score():
     plain, helped, doubted = "zzz 1.2.3.4 zzz", "server ip 1.2.3.4 zzz", "version 1.2.3.4 zzz"
     low, mid, high = (pii.find(t)[0][3] for t in (doubted, plain, helped))
