@@ -126,6 +126,19 @@ def test_all_pairs_of_near_copies_are_found(documents):
     assert {r["doc_id"]: r["copy_of"] for r in S.near_copies(documents(*own.items())).collect()} == expected
 
 
+def test_copies_with_other_texts_of_the_same_words_between_them(documents):
+    """All texts have the same words in another order, so one word fingerprint; a copy's neighbours by id are no copies."""
+    rng = random.Random(7)
+    base = [f"word{i}" for i in range(120)]
+    own = {}
+    for i in range(50):
+        text = rng.sample(base, 120)
+        own[i] = " ".join(text)
+        own[100 + i] = " ".join([*text[:-2], text[-1], text[-2]])
+    found = {r["doc_id"]: r["copy_of"] for r in S.near_copies(documents(*own.items())).collect()}
+    assert found == {100 + i: i for i in range(50)} == {i: m for i, m in near_groups(own).items() if i != m}
+
+
 def test_odd_rows(odd, nothing):
     got = S.near_duplicates(odd).collect()
     assert len(got) == 11 and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
