@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfscope.llm import decontaminate, license_scan, pii, secret_scan
+from shelfscope.llm import conversations, decontaminate, hard_negatives, license_scan, mixing, pii, secret_scan
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,9 +134,95 @@ SELECT doc_id, item_id, start, cast(size AS INTEGER) AS size, similarity::DOUBLE
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
 
 
+def conversations_sql() -> str:
+    """Least edits as a recursion over rows: per grammar state the cost in nine digits and the audit, so that text order is (cost, audit)."""
+    space = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+
+    def add(state: str, cost: str, edit: str) -> str:
+        return f"(lpad(CAST(CAST(substr({state}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{edit}')"
+
+    ins = lambda s: add(s, str(conversations.INSERT), "I")
+    gone = lambda s: add(s, str(conversations.DELETE), "D")
+    extra = f"CASE WHEN fault = 't' THEN {conversations.TRUNCATED} ELSE 0 END"
+    keep = lambda s, role: f"CASE WHEN i = '{role}' AND fault NOT IN ('b', 'd') THEN {add(s, extra, 'K')} END"
+    rerole = lambda s: f"CASE WHEN fault NOT IN ('b', 'd') THEN {add(s, f'{conversations.REROLE} + {extra}', 'R')} END"
+    crc = "list_reduce(list_prepend(4294967295, list_transform(range(1, length(id) + 1), lambda i: ascii(substr(id, i, 1)))), lambda x, b: " \
+        "list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))"
+    return f"""
+WITH RECURSIVE src AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS who, *, coalesce(role, ' ') AS said_by, coalesce(text, ' ') AS said,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+coded AS (SELECT *, xor({crc}, 4294967295) % {conversations.DAMAGES} AS code FROM src),
+damaged AS (SELECT who, turn, CASE WHEN code = 4 THEN 'user' ELSE said_by END AS role,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(said, '[.!?]', '', 'g') ELSE said END AS text, unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM coded WHERE code <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY turn NULLS FIRST, role, md5(text)) AS n, trim(text, {space}) AS body FROM damaged),
+m AS (SELECT *, substr(role, 1, 1) AS i, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY who, role, text ORDER BY n) > 1 THEN 'd'
+  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM numbered),
+pairs AS (SELECT who, i, lag(i) OVER (PARTITION BY who ORDER BY n) AS before FROM m),
+rec AS (
+  SELECT who, CAST(0 AS BIGINT) AS n, '000000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM (SELECT DISTINCT who FROM src)
+  UNION ALL
+  SELECT who, n, {gone("e")}, least({gone("s")}, {keep("e", "s")}),
+   least({gone("u1")}, {", ".join(f"{keep(x, 'u')}, {rerole(x)}" for x in ("e", "s", "a1"))}), least({gone("a1")}, {keep("u1", "a")}, {rerole("u1")})
+  FROM (SELECT *, least(a, {ins("u1")}) AS a1 FROM (
+   SELECT rec.who, m.n, e, s, u, a, i, fault, least(u, {ins("e")}, {ins("s")}, {ins("a")}) AS u1 FROM rec JOIN m ON m.who = rec.who AND m.n = rec.n + 1))),
+final AS (SELECT who, least(e, a, {ins(f'least(u, {ins("e")}, {ins("s")}, {ins("a")})')}) AS best FROM rec QUALIFY row_number() OVER (PARTITION BY who ORDER BY n DESC) = 1),
+edits AS (SELECT who, p, substr(best, p, 1) AS edit FROM (SELECT who, best, unnest(range(10, length(best) + 1)) AS p FROM final)),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY who ORDER BY p) AS n FROM edits),
+kept AS (SELECT placed.who, p, edit, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY placed.who ORDER BY p) AS j
+  FROM placed LEFT JOIN m ON m.who = placed.who AND m.n = placed.n AND edit <> 'I' WHERE edit <> 'D'),
+led AS (SELECT *, first_value(CASE WHEN edit = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY j) AS lead FROM kept),
+said AS (SELECT who, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS whole FROM led GROUP BY who),
+counts AS (SELECT who, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM m GROUP BY who),
+wrong AS (SELECT who, count(*) AS illegal FROM pairs WHERE before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au') GROUP BY who),
+every AS (SELECT DISTINCT who, conv_id FROM src)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM every JOIN final USING (who) LEFT JOIN counts USING (who) LEFT JOIN wrong USING (who) LEFT JOIN said USING (who)"""
+
+
+def hard_negatives_sql() -> str:
+    low, high = hard_negatives.WINDOW
+    return f"""
+WITH r AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM r a JOIN r b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % {hard_negatives.ANCHOR_EVERY} = 0),
+p AS (SELECT ar, anchor_id, vec_id AS positive_id, s AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY s DESC, vec_id NULLS LAST, br) AS k
+  FROM s WHERE alike QUALIFY k <= {hard_negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.s AS negative_score,
+ row_number() OVER (PARTITION BY p.ar, k ORDER BY s.s DESC, s.vec_id NULLS LAST, br) AS rank
+FROM p JOIN s ON p.ar = s.ar AND NOT alike AND {low} * positive_score <= 100 * s.s AND 100 * s.s <= {high} * positive_score QUALIFY rank <= {hard_negatives.NEGATIVES}"""
+
+
+def mixing_sql() -> str:
+    times, weights = mixing.REPEATS, mixing.WEIGHTS
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), ' ')) AS shuffle,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORDS}')) AS BIGINT) AS size FROM documents),
+named AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, {list(weights)}[(place - 1) % {len(weights)} + 1] AS w, CAST(sum(source_size) OVER () AS BIGINT) AS budget FROM named),
+-- Sources by size for their weight: one is full if its share of what those before it leave is above its most.
+f AS (SELECT *, CAST(budget - coalesce(sum({times} * source_size) OVER (ORDER BY source_size / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) * w
+  / sum(w) OVER (ORDER BY source_size / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > {times} * source_size AS "full" FROM w),
+t AS (SELECT *, CASE WHEN "full" THEN CAST({times} * source_size AS DOUBLE)
+  ELSE CAST(budget - coalesce(sum(CASE WHEN "full" THEN {times} * source_size END) OVER (), 0) AS DOUBLE) * w / CAST(sum(CASE WHEN "full" THEN 0 ELSE w END) OVER () AS DOUBLE) END AS target FROM f),
+q AS (SELECT r, doc_id, size, place, source_size, target, budget, sum(size) OVER (PARTITION BY place ORDER BY shuffle, size, r ROWS UNBOUNDED PRECEDING) AS given
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(again * source_size + given AS DOUBLE) / target AS finish FROM q, (SELECT unnest(range({times})) AS again)
+  WHERE size > 0 AND target > 0 AND again * source_size + given - size <= target),
+e AS (SELECT r, count(*) AS n FROM (SELECT r, budget, sum(size) OVER (ORDER BY finish, place, given, again ROWS UNBOUNDED PRECEDING) AS spent FROM c) WHERE spent <= budget GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(size * n, 0) AS taken FROM q LEFT JOIN e USING (r)"""
+
+
 ORACLES = {
     "op1_license_scan": license_sql(),
     "op2_secret_scan": secrets_sql(),
     "op3_pii": pii_sql(),
     "op5_decontamination": decontamination_sql(),
+    "op11_conversation_repair": conversations_sql(),
+    "op12_hard_negatives": hard_negatives_sql(),
+    "op13_mixing": mixing_sql(),
 }

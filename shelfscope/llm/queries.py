@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import ann, decontaminate, license_scan, packing, pii, secret_scan, sharding, simhash_dedup, token_files, toxicity
+from shelfscope.llm import ann, conversations, decontaminate, hard_negatives, license_scan, mixing, packing, pii, secret_scan, sharding, simhash_dedup, token_files, toxicity
 from shelfscope.llm.common import table
 from shelfscope.llm.oracles import ORACLES  # noqa: F401
 from shelfscope.session import scratch_path
@@ -58,6 +58,20 @@ def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % ann.QUERY_EVERY == 0)
 
 
+def conversations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, dropped)
+
+
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"), label=hard_negatives.relabelled())
+    return hard_negatives.mine(rows, F.col("vec_id") % hard_negatives.ANCHOR_EVERY == 0)
+
+
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": license_query,
     "op2_secret_scan": secrets_query,
@@ -69,4 +83,7 @@ QUERIES = {
     "op8_toxicity": toxicity_query,
     "op9_sharding": sharding_query,
     "op10_neighbours": neighbours_query,
+    "op11_conversation_repair": conversations_query,
+    "op12_hard_negatives": hard_negatives_query,
+    "op13_mixing": mixing_query,
 }

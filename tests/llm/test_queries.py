@@ -20,7 +20,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = llm.QUERIES[name](spark, SF)
     cursor = con.execute(llm.ORACLES[name])
@@ -32,4 +32,4 @@ def test_against_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in llm.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in llm.QUERIES] == [f"op{i}" for i in range(1, 14)]
