@@ -2,7 +2,7 @@
 
 All of these are ``row_number() = 1`` filters: Spark plans them with a map-side ``WindowGroupLimit``, so
 a task sends at most one row per key and a key that holds a third of the data costs no more than any other.
-The order columns must tell rows of one key apart.
+The order columns must tell rows of one key apart. The input is read once, so it may be a fresh extraction.
 """
 
 from __future__ import annotations
@@ -16,6 +16,17 @@ def _one_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+#: Rows without a key get a number of their own here; a second pass over the input for them would run what it comes from twice.
+_APART = "_apart"
+
+
+def _keyless_apart(df: DataFrame, keys: list[str]) -> DataFrame:
+    keyless = F.lit(False)
+    for key in keys:
+        keyless = keyless | F.col(key).isNull()
+    return df.withColumn(_APART, F.when(keyless, F.monotonically_increasing_id()))
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _one_per(df, keys, [F.col(c).asc_nulls_first() for c in order])
 
@@ -26,10 +37,7 @@ def last_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def last_per_unique_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``last_per`` under SQL's UNIQUE rule: a NULL in the key equals nothing, so such rows all stay."""
-    partial = F.lit(False)
-    for key in keys:
-        partial = partial | F.col(key).isNull()
-    return last_per(df.where(~partial), keys, order).unionByName(df.where(partial))
+    return last_per(_keyless_apart(df, keys), [*keys, _APART], order).drop(_APART)
 
 
 def first_listing_per_keyword(items: DataFrame, order: tuple[str, ...] = ("page_no", "pos")) -> DataFrame:
@@ -51,8 +59,5 @@ def newest_page(pages: DataFrame, keys: list[str], bad: str | None = None) -> Da
     Pages without a key are told apart by nothing and all stay.
     """
     order = [F.col(c).desc_nulls_last() for c in ("fetched_at", "page_id")]
-    keyless = F.lit(False)
-    for key in keys:
-        keyless = keyless | F.col(key).isNull()
-    ranked = _one_per(pages.where(~keyless), keys, [F.col(bad).asc(), *order] if bad else order)
-    return ranked.unionByName(pages.where(keyless))
+    apart = _keyless_apart(pages, keys)
+    return _one_per(apart, [*keys, _APART], [F.col(bad).asc(), *order] if bad else order).drop(_APART)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions import numbers as N
 from shelfscope.functions import text as X
-from shelfscope.sources.candidates import read_candidates
+from shelfscope.sources.candidates import item_faults, read_candidates
 
 # Fixed values.
 ITEMS_PER_PAGE = 48
@@ -71,24 +71,33 @@ def _brand(item: Column, rule: str, stop_words: list[str]) -> Column:
 
 
 def search_candidates(pages: DataFrame) -> DataFrame:
-    """One row per page: its columns, ``has_next`` and the candidate items.
+    """One row per page: its columns, ``has_next``, the candidate items and their faults.
 
-    An unreadable page has no items and does not end its keyword.
+    An unreadable page has no items and does not end its keyword; an unreadable item is NULL in its place.
     """
     return read_candidates(pages, "search").select(
-        "*", F.coalesce("found.has_next", F.lit(True)).alias("has_next"), F.col("found.items").alias("items")
+        "*", F.coalesce("found.has_next", F.lit(True)).alias("has_next"), F.col("found.items").alias("items"), item_faults().alias("faults")
     ).drop("found")
 
 
 def search_items(
-    candidates: DataFrame, brand_rule: str = "v2", stop_words: list[str] = NOT_A_BRAND
+    candidates: DataFrame, brand_rule: str = "v2", stop_words: list[str] = NOT_A_BRAND, keep_faults: bool = False
 ) -> DataFrame:
-    """Listing rows of candidate pages (``keyword``, ``page_no``, ``items``); other page columns are kept."""
-    carried = [c for c in candidates.columns if c not in ("items", "has_next", "asin", "keyword", "brand", "url")]
-    placed = candidates.select(*carried, "keyword", F.posexplode("items").alias("pos", "item"))
-    item = F.col("item")
-    return placed.where(F.length(item.asin) == ASIN_LENGTH).select(
+    """Listing rows of candidate pages (``keyword``, ``page_no``, ``items``); other page columns are kept.
+
+    With ``keep_faults`` a page's first row also holds its ``faults``, and a row without an item stands for a page that has nothing else.
+    """
+    carried = [c for c in candidates.columns if c not in ("items", "has_next", "asin", "keyword", "brand", "url", "faults")]
+    item, wanted, told = F.col("item"), F.length("item.asin") == ASIN_LENGTH, []
+    if keep_faults:
+        placed = candidates.select(*carried, "keyword", "faults", F.posexplode_outer("items").alias("pos", "item"))
+        told = [F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("faults")).alias("faults")]
+        wanted = wanted | ((F.coalesce("pos", F.lit(0)) == 0) & (F.size("faults") > 0))
+    else:
+        placed = candidates.select(*carried, "keyword", F.posexplode("items").alias("pos", "item"))
+    return placed.where(wanted).select(
         *carried,
+        *told,
         "pos",
         item.asin.alias("asin"),
         F.col("keyword").alias("search_keyword"),

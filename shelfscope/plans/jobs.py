@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.operators import extract_product, extract_review, extract_search, filters, merged, paging, stats
@@ -53,34 +53,55 @@ def for_asins(pages: DataFrame, asins: DataFrame, extract) -> DataFrame:
 
 
 # ---- search -----------------------------------------------------------------------------------
-def search_listings(
-    pages: DataFrame, settings: Settings, run_brand: str = "", keywords: list[str] | None = None, observed: Observation | None = None
-) -> DataFrame:
-    """First listings of target brands. ``observed`` gets how many items the brand filter kept and rejected, as the rows pass."""
+def search_rows(pages: DataFrame, settings: Settings, keywords: list[str] | None = None) -> DataFrame:
+    """All items of the pages that count, and the ``faults`` of those pages."""
     pages = _of_kind(pages, "search")
     if keywords:
         ordinal = F.create_map(*[v for n, k in enumerate(keywords) for v in (F.lit(k), F.lit(n))])
         pages = pages.where(F.col("keyword").isin(keywords)).withColumn("keyword_ord", ordinal[F.col("keyword")])
     html = F.col("html")
-    capped = paging.page_cap(pages, settings.search_pages).withColumn("refused", is_captcha(html) | is_blocked(html))
-    # A refused page neither ends its keyword nor stands in the way of an older good copy.
-    read = extract_search.search_candidates(capped).withColumn("has_next", F.col("has_next") | F.col("refused"))
-    current = paging.until_last_page(newest_page(read, ["keyword", "page_no"], bad="refused").where(~F.col("refused")).drop("refused"))
-    items = extract_search.search_items(current)
+    capped = paging.page_cap(pages, settings.search_pages).withColumns({"captcha": is_captcha(html), "sorry": is_blocked(html)})
+    read = extract_search.search_candidates(capped)
+    # A page that lists anything was not refused, whatever its titles say.
+    read = read.withColumn("refused", F.col("captcha") | (F.col("sorry") & (F.coalesce(F.size("items"), F.lit(0)) <= 0))).drop("captcha", "sorry")
+    # A refused page neither ends its keyword nor stands in the way of an older good copy; nor does one that cannot be read.
+    read = read.withColumns({"has_next": F.col("has_next") | F.col("refused"), "bad": F.col("refused") | F.col("items").isNull()})
+    current = newest_page(read, ["keyword", "page_no"], bad="bad").where(~F.col("refused")).drop("refused", "bad")
+    return extract_search.search_items(paging.until_last_page(current), keep_faults=True)
+
+
+def _target_listings(rows: DataFrame, settings: Settings, run_brand: str) -> tuple[DataFrame, Column]:
     hit = filters.is_target_brand(F.col("brand"), settings.targets(run_brand), settings.brand_match_mode, settings.filter_by_brand)
-    if observed is not None:
-        items = items.observe(observed, F.count_if(hit).alias("kept"), F.count_if(~hit).alias("rejected"))
-    kept = items.where(hit)
-    return filters.with_run_brand(first_listing(kept), run_brand)
+    return rows.where(F.length("asin") == extract_search.ASIN_LENGTH).drop("faults"), hit
+
+
+def search_listings(pages: DataFrame, settings: Settings, run_brand: str = "", keywords: list[str] | None = None) -> DataFrame:
+    """First listings of target brands."""
+    items, hit = _target_listings(search_rows(pages, settings, keywords), settings, run_brand)
+    return filters.with_run_brand(first_listing(items.where(hit)), run_brand)
+
+
+def fault_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """(…, pos, kind): one row per item or page that could not be read, from rows with ``faults``."""
+    return rows.where(F.size("faults") > 0).select(*carried, F.explode("faults").alias("fault")).select(*carried, "fault.pos", "fault.kind")
+
+
+def _save_faults(rows: DataFrame, carried: list[str], path: str) -> None:
+    fault_rows(rows, carried).write.mode("overwrite").parquet(path)
 
 
 def run_search(
     pages: DataFrame, store: Store, folder: str, settings: Settings, run_brand: str = "", keywords: list[str] | None = None
 ) -> DataFrame:
-    observed = Observation("brand filter")
-    found = stage(search_listings(pages, settings, run_brand, keywords, observed))
-    spark = pages.sparkSession
-    spark.createDataFrame([observed.get], "kept bigint, rejected bigint").write.mode("overwrite").json(f"{folder}/search_outcome")
+    """Besides the listings, ``search_outcome`` holds how many items the brand filter kept and rejected and how many were unreadable,
+    ``search_faults`` which these are."""
+    rows = stage(search_rows(pages, settings, keywords))
+    items, hit = _target_listings(rows, settings, run_brand)
+    found = stage(filters.with_run_brand(first_listing(items.where(hit)), run_brand))
+    faults = rows.agg(F.coalesce(F.sum(F.when(F.size("faults") > 0, F.size("faults"))), F.lit(0)).alias("faults"))
+    counts = items.agg(F.count_if(hit).alias("kept"), F.count_if(~hit).alias("rejected"))
+    counts.crossJoin(faults).write.mode("overwrite").json(f"{folder}/search_outcome")  # two single rows
+    _save_faults(rows, ["page_id", "page_no", "search_keyword"], f"{folder}/search_faults")
     store["search_results"].upsert(found)
     records.save_json(found.drop("page_id", "page_kind", "keyword_ord", "page_no", "pos", "fetched_at"), f"{folder}/search_results.json")
     return found
@@ -118,19 +139,28 @@ def review_page_candidates(pages: DataFrame, cap: int) -> DataFrame:
     """One narrow row per readable page position: candidates, and whether the page ends its product's run."""
     html = F.col("html")
     capped = paging.page_cap(_of_kind(pages, "review"), cap).select(
-        "page_id", "asin", "page_no", "fetched_at", "html", (is_captcha(html) | is_refused(html)).alias("refused")
+        "page_id", "asin", "page_no", "fetched_at", "html", is_captcha(html).alias("captcha"), is_refused(html).alias("sorry")
     )
     read = extract_review.review_candidates(capped)
-    return read.withColumn("bad", F.col("refused") | F.col("unreadable")).drop("refused", "unreadable")
+    # A page with reviews was not refused: the product may be called "Sorry".
+    refused = F.col("captcha") | (F.col("sorry") & (F.coalesce(F.size("items"), F.lit(0)) <= 0))
+    return read.withColumn("bad", refused | F.col("unreadable")).drop("captcha", "sorry", "unreadable")
 
 
-def reviews_of_candidates(candidates: DataFrame, cap: int, run_brand: str = "") -> DataFrame:
-    current = newest_page(candidates, ["asin", "page_no"], bad="bad")
-    rows = stage(extract_review.review_rows(current, keep_empty_pages=True))
-    kept = paging.cut_review_pages(rows, cap)
+def review_page_rows(candidates: DataFrame) -> DataFrame:
+    """Reviews of the copy that counts of each page, staged, with the ``faults`` of those pages."""
+    return stage(extract_review.review_rows(newest_page(candidates, ["asin", "page_no"], bad="bad"), keep_empty_pages=True))
+
+
+def reviews_of_rows(rows: DataFrame, cap: int, run_brand: str = "") -> DataFrame:
+    kept = paging.cut_review_pages(rows.drop("faults"), cap)
     return kept.withColumn("brand", F.lit(run_brand)).drop("page_id", "fetched_at", "page_no", "pos", "review_date")
 
 
+def reviews_of_candidates(candidates: DataFrame, cap: int, run_brand: str = "") -> DataFrame:
+    return reviews_of_rows(review_page_rows(candidates), cap, run_brand)
+
+
 def run_reviews(
     pages: DataFrame,
     store: Store,
@@ -139,15 +169,21 @@ def run_reviews(
     run_brand: str = "",
     asins: DataFrame | None = None,
 ) -> DataFrame:
-    """The most-rated products, or the given asins, minus those whose reviews are stored."""
+    """The most-rated products, or the given asins, minus those whose reviews are stored.
+
+    ``review_outcomes`` tells of each whether it gave reviews, ``review_faults`` what could not be read.
+    """
     if asins is None:
         asins = top_for_review(store.read("products"), settings.reviews_top_n)
     todo = merged.resume_reviews(asins, store.read("reviews"), settings.min_reviews)
     cap = settings.review_pages
-    candidates = for_asins(pages, todo, lambda some: review_page_candidates(some, cap))
-    found = stage(reviews_of_candidates(candidates, cap, run_brand))
+    todo = stage(todo.select("asin").distinct())
+    rows = review_page_rows(for_asins(pages, todo, lambda some: review_page_candidates(some, cap)))
+    found = stage(reviews_of_rows(rows, cap, run_brand))
     store["reviews"].upsert(found)
     records.save_json(found, f"{folder}/reviews_new.json")
+    stats.outcomes(todo, found).write.mode("overwrite").parquet(f"{folder}/review_outcomes")
+    _save_faults(rows, ["page_id", "asin", "page_no"], f"{folder}/review_faults")
     return found
 
 

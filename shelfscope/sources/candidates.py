@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,6 +22,16 @@ cloudpickle.register_pickle_by_value(dom)
 cloudpickle.register_pickle_by_value(layouts)
 
 
+#: What ``item_faults`` calls a page that cannot be read at all.
+PAGE_FAULT = "page"
+
+
+def item_faults() -> Column:
+    """Of a page with items: (pos, kind) of each that cannot be read, or one without a position for the whole page."""
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(PAGE_FAULT).alias("kind")))
+    return F.when(F.col("found").isNull(), whole).otherwise(F.col("found.faults"))
+
+
 def read_candidates(pages: DataFrame, layout: str) -> DataFrame:
     """All columns of ``pages`` but ``html``, and one ``found`` struct of the layout's candidates.
 

@@ -28,6 +28,10 @@ _COMPOUND = re.compile(
 )
 
 
+# A character number too long to be read as a number. This noncharacter takes its place, and what holds it is broken.
+_BROKEN = re.compile(r"&#[0-9]{4301,};?")
+BROKEN = "\ufdd0"
+
 _WORDS = re.compile(r"(?:\[[^\]]*\]|\S)+")
 _ORDER = attrgetter("order")
 
@@ -58,11 +62,13 @@ class Page(HTMLParser):
         self._open = [Element("", {}, None, None, -1, 0)]
         self._newest = [None]  # per open element, its latest child
         self._hidden: list[Element] = []
+        html = _BROKEN.sub(BROKEN, html)
         self.feed(html)
         self.close()
         self._flush()
         while self._open:
             self._end()
+        self.broken = self._broken_places() if BROKEN in html else []
 
     def updatepos(self, i, j):
         """Line numbers are not needed."""
@@ -123,6 +129,14 @@ class Page(HTMLParser):
     handle_decl = handle_pi = unknown_decl = handle_comment
 
     # reading --------------------------------------------------------------------------------
+    def _broken_places(self) -> list[int]:
+        """Of each broken piece of text or attribute, the number of the element that holds it."""
+        texts = [max((e for e in self.elements if e.t0 <= i < e.t1), key=_ORDER, default=None) for i, (t, _) in enumerate(self.texts) if BROKEN in t]
+        return [-1 if e is None else e.order for e in texts] + [e.order for e in self.elements if any(BROKEN in (v or "") for v in e.attrs.values())]
+
+    def is_broken(self, element) -> bool:
+        return any(element.order <= at <= element.last for at in self.broken)
+
     def raw_text(self, element) -> str:
         """Text as written, line breaks included."""
         own = element.tag if element.tag in HIDDEN else None

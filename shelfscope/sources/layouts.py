@@ -53,7 +53,29 @@ _SEARCH_ITEM_TYPE = (
     "star_label:string,counts:array<string>,count_label:string,ad_badge:boolean,ad_spans:array<string>,"
     "badges:array<string>,image:string>"
 )
-SEARCH_FOUND = f"has_next boolean, items array<{_SEARCH_ITEM_TYPE}>"
+# Items that cannot be read are NULL in their places; ``faults`` tells which and why.
+_FAULTS = "faults array<struct<pos:int,kind:string>>"
+SEARCH_FOUND = f"has_next boolean, items array<{_SEARCH_ITEM_TYPE}>, {_FAULTS}"
+
+
+class BrokenText(ValueError):
+    """Something that no text can be made of."""
+
+
+def _items(page, containers, read) -> dict:
+    """``read`` applied to each container, whatever is wrong with the others. What is broken outside of them is the whole page's fault."""
+    items, faults = [], []
+    if any(not any(c.order <= at <= c.last for c in containers) for at in page.broken):
+        raise BrokenText
+    for pos, item in enumerate(containers):
+        try:
+            if page.broken and page.is_broken(item):
+                raise BrokenText
+            items.append(read(page, item))
+        except Exception as e:  # one malformed item must not take the others with it
+            items.append(None)
+            faults.append({"pos": pos, "kind": type(e).__name__})
+    return {"items": items, "faults": faults}
 
 
 def _first_texts(page, selectors, scope=None):
@@ -79,28 +101,30 @@ def _containers(page, selectors):
     return []
 
 
+def _search_item(page, item) -> dict:
+    row = {name: _first_texts(page, selectors, item) for name, selectors in SEARCH_FIRST_TEXT.items()}
+    heading = page.one("h2", item)
+    spans = [] if heading is None else [page.text(s) for s in page.select("span", heading)]
+    said = (page.text(s) for s in page.select("span", item))
+    row.update(
+        asin=item.get("data-asin"),
+        heading=None if heading is None else page.text(heading),
+        heading_spans=spans,
+        link_label=_attr(page, 'a.a-link-normal[href*="/dp/"]', "aria-label", item),
+        star_label=_attr(page, 'i[class*="a-icon-star"]', "aria-label", item),
+        counts=[page.text(e) for s in SEARCH_COUNTS for e in page.select(s, item)],
+        count_label=_attr(page, 'a[href*="#customerReviews"]', "aria-label", item),
+        ad_badge=page.one(SEARCH_AD, item) is not None,
+        ad_spans=[t for t in said if "sponsored" in t.lower()],
+        badges=[page.text(e) for e in page.select(SEARCH_BADGES, item)],
+        image=_attr(page, "img.s-image", "src", item),
+    )
+    return row
+
+
 def read_search(page) -> dict:
-    items = []
-    for item in _containers(page, SEARCH_ITEM):
-        row = {name: _first_texts(page, selectors, item) for name, selectors in SEARCH_FIRST_TEXT.items()}
-        heading = page.one("h2", item)
-        spans = [] if heading is None else [page.text(s) for s in page.select("span", heading)]
-        said = (page.text(s) for s in page.select("span", item))
-        row.update(
-            asin=item.get("data-asin"),
-            heading=None if heading is None else page.text(heading),
-            heading_spans=spans,
-            link_label=_attr(page, 'a.a-link-normal[href*="/dp/"]', "aria-label", item),
-            star_label=_attr(page, 'i[class*="a-icon-star"]', "aria-label", item),
-            counts=[page.text(e) for s in SEARCH_COUNTS for e in page.select(s, item)],
-            count_label=_attr(page, 'a[href*="#customerReviews"]', "aria-label", item),
-            ad_badge=page.one(SEARCH_AD, item) is not None,
-            ad_spans=[t for t in said if "sponsored" in t.lower()],
-            badges=[page.text(e) for e in page.select(SEARCH_BADGES, item)],
-            image=_attr(page, "img.s-image", "src", item),
-        )
-        items.append(row)
-    return {"has_next": page.one(SEARCH_NEXT) is not None, "items": items}
+    found = _items(page, _containers(page, SEARCH_ITEM), _search_item)
+    return {"has_next": page.one(SEARCH_NEXT) is not None, **found}
 
 
 # ---- product --------------------------------------------------------------------------------
@@ -194,6 +218,8 @@ def _nearest(element, tags):
 
 
 def read_product(page) -> dict:
+    if page.broken:
+        raise BrokenText
     row = {name: _first_texts(page, selectors) for name, selectors in PRODUCT_FIRST_TEXT.items()}
     rated = [page.one(s) for s in PRODUCT_RATING]
     bars = (page.one("a, span", bar) for bar in page.select(PRODUCT_STAR_BARS))
@@ -270,21 +296,22 @@ _REVIEW_ITEM_TYPE = (
     + ",".join(f"{name}:array<string>" for name in REVIEW_FIRST_TEXT)
     + ",verified:boolean>"
 )
-REVIEW_FOUND = f"items array<{_REVIEW_ITEM_TYPE}>"
+REVIEW_FOUND = f"items array<{_REVIEW_ITEM_TYPE}>, {_FAULTS}"
 AUDIT_FOUND = "matches array<bigint>"
 
 
+def _review_item(page, item) -> dict:
+    row = {name: _first_texts(page, selectors, item) for name, selectors in REVIEW_FIRST_TEXT.items()}
+    row.update(
+        id=item.get("id"),
+        opening=None if item.get("id") else page.raw_text(item)[:100],
+        verified=page.one(REVIEW_VERIFIED, item) is not None,
+    )
+    return row
+
+
 def read_reviews(page) -> dict:
-    items = []
-    for item in _containers(page, REVIEW_ITEM):
-        row = {name: _first_texts(page, selectors, item) for name, selectors in REVIEW_FIRST_TEXT.items()}
-        row.update(
-            id=item.get("id"),
-            opening=None if item.get("id") else page.raw_text(item)[:100],
-            verified=page.one(REVIEW_VERIFIED, item) is not None,
-        )
-        items.append(row)
-    return {"items": items}
+    return _items(page, _containers(page, REVIEW_ITEM), _review_item)
 
 
 def read_audit(page) -> dict:
