@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import pages, refusals, relational, runs, scalars, stores
+from checks import pages, refusals, relational, runs, scalars, stores, streams
 
-_MODULES = (relational, scalars, pages, stores, runs, refusals)
+_MODULES = (relational, scalars, pages, stores, runs, refusals, streams)
 
 
 def queries() -> dict:

@@ -28,9 +28,13 @@ def brand_filter_counts(items: DataFrame, targets: list[str], mode: str = "conta
     return items.agg(F.count_if(hit).alias("kept"), F.count_if(~hit).alias("rejected"))
 
 
-def keep_run_brand(products: DataFrame, run_brand: str, mode: str = "contains", enabled: bool = True) -> DataFrame:
+def is_run_brand(brand: Column, run_brand: str, mode: str = "contains", enabled: bool = True) -> Column:
     """Products are filtered only in a brand run, and then by that brand alone."""
-    return keep_target_brands(products, [run_brand], mode) if enabled and run_brand else products
+    return is_target_brand(brand, [run_brand], mode) if enabled and run_brand else F.lit(True)
+
+
+def keep_run_brand(products: DataFrame, run_brand: str, mode: str = "contains", enabled: bool = True) -> DataFrame:
+    return products.where(is_run_brand(F.col("brand"), run_brand, mode, enabled))
 
 
 def with_run_brand(rows: DataFrame, run_brand: str = "") -> DataFrame:

@@ -83,7 +83,7 @@ def test_streams_end_where_batches_do(spark, folder, pages):
             if kind == "product":
                 incremental.stream_products(stream, store, settings, mark).awaitTermination()
             else:
-                incremental.stream_reviews(stream, store, settings, mark, f"{folder}/extracted").awaitTermination()
+                incremental.stream_reviews(stream, store, settings, mark).awaitTermination()
     asins = shop.select("asin").distinct()
     jobs.run_products(pages, batch, f"{folder}/files", settings, asins=asins)
     jobs.run_reviews(pages, batch, f"{folder}/files", settings, asins=asins)
@@ -137,7 +137,7 @@ def test_whole_runs_and_streams_leave_no_scratch(spark, folder, pages):
     assert session._staged == []
     for part in (0, 1, 2):
         write_pages(pages.where((F.col("page_kind") == "review") & (F.col("page_no") == part + 1)), f"{folder}/pages")
-        incremental.stream_reviews(incremental.page_stream(spark, f"{folder}/pages"), store, settings, f"{folder}/mark", f"{folder}/extracted").awaitTermination()
+        incremental.stream_reviews(incremental.page_stream(spark, f"{folder}/pages"), store, settings, f"{folder}/mark").awaitTermination()
     assert session._staged == []
 
 
