@@ -5,9 +5,10 @@ its 64 neighbours, and fingerprints that share a variant meet. All that meet are
 fingerprints of a variant links the same classes as all its pairs would; a variant has 65 fingerprints at most. Copies of a
 fingerprint are one row before anything is emitted.
 
-``near_copies`` finds all pairs of texts that share enough of their word shingles: of two such texts, the rarest shingles, as many as
-may be lacking and one, have one in common. Texts meet under these; numbers of shingles and sketches refuse pairs that cannot be near,
-the shares of common shingles decide.
+``near_copies`` finds all pairs of texts that share enough of their word shingles. Balls of fingerprints propose first and link most of each group.
+What no ball may hold, a prefix filter completes: of two near texts, the rarest shingles, as many as may be lacking and one, have one in
+common. Texts of different classes meet under these; numbers of shingles, places and sketches refuse pairs that cannot be near, the shares of
+common shingles decide.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Buckets in which shingles are counted for their order, and bits of the sketch by which pairs are refused without their shingles.
 BUCKETS, SKETCH_BITS = 1 << 18, 512
-#: Texts of a shingle that meet in one piece of work.
-CELL = (256, 4096)
+#: Texts of a shingle that meet in one piece of work, and pieces in which texts of a shingle or fingerprint are chained.
+CELL, PIECES = (256, 4096), 64
 _BUCKET, _MIX = np.uint64(BUCKETS - 1), np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = [f"bits{i}" for i in range(SKETCH_BITS // 64)]
 _BITS = np.arange(64, dtype=np.uint64)
@@ -166,37 +167,39 @@ def near_copies(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(BUCKETS, dtype=np.int64)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(_SKETCH), pa.list_(pa.int64())]
-        names = ["doc_id", "same", "size", *_SKETCH, "often"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(_SKETCH), pa.list_(pa.int64())]
+        names = ["doc_id", "same", "print", "size", *_SKETCH, "often"]
         for b in batches:
-            same, size, bits = [], [], []
+            same, prints, size, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 own = words(t)
                 grams = gram_set(own, shingle)
                 same.append(text_key(own))
+                prints.append(fingerprint(grams))
                 size.append(len(grams))
                 bits.append(sketch(grams))
                 np.add.at(often, (grams & _BUCKET).astype(np.int64), 1)
-            columns = [b.column(0), same, size, *np.array(bits, dtype=np.int64).reshape(-1, len(_SKETCH)).T, [None] * len(same)]
+            columns = [b.column(0), same, prints, size, *np.array(bits, dtype=np.int64).reshape(-1, len(_SKETCH)).T, [None] * len(same)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
         held = np.flatnonzero(often)
-        last = [[None], [None], [None], *[[None]] * len(_SKETCH), [held << 32 | often[held]]]
+        last = [[None], [None], [None], [None], *[[None]] * len(_SKETCH), [held << 32 | often[held]]]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(last, kinds)], names)
 
-    both = stage(narrow.mapInArrow(run, f"doc_id long, same long, size int, {', '.join(f'{c} long' for c in _SKETCH)}, often array<long>"))
+    both = stage(narrow.mapInArrow(run, f"doc_id long, same long, print long, size int, {', '.join(f'{c} long' for c in _SKETCH)}, often array<long>"))
     rows = both.where("doc_id IS NOT NULL")
     counted = both.where("doc_id IS NULL").select(F.explode("often").alias("x")).groupBy(F.expr("x >> 32").alias("bucket")).agg(F.sum(F.expr("x & 4294967295")).alias("n"))
     # One node per text, whatever ids share it.
-    nodes = stage(rows.groupBy("same").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", *_SKETCH)), F.count("*").alias("n")))
+    nodes = stage(rows.groupBy("same").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("print", "size", *_SKETCH)), F.count("*").alias("n")))
 
     def links() -> DataFrame:
         often = np.zeros(BUCKETS, dtype=np.int64)
         for r in counted.collect():
             often[r["bucket"]] = r["n"]
-        posted = _posted(narrow, nodes, often, shingle, similarity)
-        first = stage(_verified(_chained(posted, similarity), nodes, narrow, shingle, similarity))
-        classes = stage(components(first))
-        left = stage(_verified(_between(posted, classes, similarity), nodes, narrow, shingle, similarity))
+        posted = _posted(narrow, often, shingle, similarity)
+        proposed = _balls(nodes.where("size > 0")).union(_chained(posted, similarity)).distinct()
+        first = staged_alone(spark, lambda: _verified(_sketched(proposed, nodes, similarity), nodes, narrow, shingle, similarity))
+        classes = staged_alone(spark, lambda: components(first))
+        left = staged_alone(spark, lambda: _verified(_sketched(_between(posted, classes, similarity), nodes, similarity), nodes, narrow, shingle, similarity))
         return components(first.union(left)) if not left.isEmpty() else classes
 
     linked = staged_alone(spark, links)
@@ -206,49 +209,87 @@ def near_copies(
     return look_up(rows.select("doc_id", "same"), stage(named), "same", "n").select("doc_id", "copy_of").where("copy_of < doc_id")
 
 
-def _posted(texts: DataFrame, nodes: DataFrame, often: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(gram, n, same, size, sketch): each text under its rarest shingles, those that no other text is under left out."""
+def _pair(u: Column, v: Column) -> list[Column]:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def _balls(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of texts whose fingerprints meet under a variant: chains of the texts of a fingerprint, and of one text each of those that meet."""
+    alike = Window.partitionBy("print", F.pmod("same", F.lit(PIECES))).orderBy("same")
+    within = nodes.select(F.col("same").alias("u"), F.lag("same").over(alike).alias("v")).where("v IS NOT NULL")
+    distinct = nodes.groupBy("print").agg(F.min("same").alias("node"))
+    met = chains(distinct.select("node", F.explode(variants(F.col("print"))).alias("variant")), "node")
+    return within.select(*_pair(F.col("u"), F.col("v"))).union(met.select(*_pair(F.col("u"), F.col("v"))))
+
+
+def _posted(texts: DataFrame, often: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(gram, same, size, pos): each text under its rarest shingles with their places, those that no other text is under left out.
+
+    One exchange by shingle; nine in ten shingles stand alone and go there. Near copies share their shingles, so a group of them is spread over as
+    many tasks as a text has rarest shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task post once
+
         def out() -> pa.RecordBatch:
-            columns = [pa.array(np.repeat(np.array(same, dtype=np.int64), [len(g) for g in lead])), pa.array(np.concatenate(lead).astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["same", "gram"])
+            counts = [len(g) for g in lead]
+            place = np.concatenate([np.arange(n, dtype=np.int64) for n in counts])
+            columns = [np.concatenate(lead).astype(np.int64), np.repeat(np.array(same, dtype=np.int64), counts), np.repeat(np.array(size, dtype=np.int64) << 32, counts) | place]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "same", "at"])
 
         for b in batches:
-            same, lead, held = [], [], 0
+            same, size, lead, held = [], [], [], 0
             for t in b.column(1).to_pylist():
                 own = words(t)
+                key = text_key(own)
+                if key in seen:
+                    continue
+                seen.add(key)
                 grams = gram_set(own, shingle)
                 if len(grams):
-                    same.append(text_key(own))
+                    same.append(key)
+                    size.append(len(grams))
                     lead.append(rarest(grams, often, similarity))
                     held += len(lead[-1])
                 if held > 100_000:
                     yield out()
-                    same, lead, held = [], [], 0
+                    same, size, lead, held = [], [], [], 0
             if lead:
                 yield out()
 
-    postings = stage(texts.mapInArrow(run, "same long, gram long"))
-    met = stage(postings.groupBy("gram").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.count("*").alias("n")).where("a <> b").select("gram", "n"))
-    return stage(postings.join(side(met), "gram").distinct().join(nodes.select("same", "size", *_SKETCH), "same"))
+    under = Window.partitionBy("gram")
+    postings = texts.mapInArrow(run, "gram long, same long, at long")
+    met = postings.select("*", F.min("same").over(under).alias("a"), F.max("same").over(under).alias("b")).where("a <> b")
+    return stage(met.select("gram", "same", F.expr("at >> 32").cast("int").alias("size"), F.expr("at & 4294967295").cast("int").alias("pos")).distinct())
+
 
+def _may_hold(similarity: float) -> Column:
+    """Whether texts u and v that meet under a shingle may share enough of them, by their numbers and the places of the shingle.
 
-def _may(similarity: float) -> Column:
-    """Whether texts u and v may share enough shingles by their numbers and sketches; no pair that does is refused."""
-    differ = sum((F.bit_count(F.col(f"u.{c}").bitwiseXOR(F.col(f"v.{c}"))) for c in _SKETCH), F.lit(0))
-    both = F.col("u.size") + F.col("v.size")
+    The first shingle that two near texts have in common passes: before it they share none, so what is left must do.
+    """
     near = F.least("u.size", "v.size") >= similarity * F.greatest("u.size", "v.size") - 1e-9
-    return near & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    left = F.least(F.col("u.size") - F.col("u.pos"), F.col("v.size") - F.col("v.pos"))
+    return near & (left >= (F.col("u.size") + F.col("v.size")) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that may share enough shingles by their numbers and sketches; no pair that does is refused."""
+    of = lambda side: nodes.select(F.col("same").alias(side), F.struct("size", *_SKETCH).alias(f"{side}_"))
+    met = pairs.join(of("u"), "u").join(of("v"), "v")
+    differ = sum((F.bit_count(F.col(f"u_.{c}").bitwiseXOR(F.col(f"v_.{c}"))) for c in _SKETCH), F.lit(0))
+    both = F.col("u_.size") + F.col("v_.size")
+    near = F.least("u_.size", "v_.size") >= similarity * F.greatest("u_.size", "v_.size") - 1e-9
+    return met.where(near & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)).select("u", "v")
 
 
 def _chained(posted: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of each text with the next one under a shingle, in an order that differs by shingle: links most of a large group at little cost."""
-    text = F.struct("same", "size", *_SKETCH)
-    spread = F.pmod(F.xxhash64("same", "gram"), F.ceil(F.col("n") / CELL[0]))
-    by = Window.partitionBy("gram", "piece").orderBy(F.xxhash64("gram", "same"), "same")
-    pairs = posted.withColumn("piece", spread).select(text.alias("u"), F.lag(text).over(by).alias("v")).where("v IS NOT NULL").where(_may(similarity))
-    return pairs.select(F.least("u.same", "v.same").alias("u"), F.greatest("u.same", "v.same").alias("v")).distinct()
+    """Pairs (u, v) of each text with the next one under a shingle, in the same order under all: links most of a large group at little cost."""
+    text = F.struct("same", "size", "pos")
+    by = Window.partitionBy("gram", F.pmod("same", F.lit(PIECES))).orderBy("size", "same")
+    pairs = posted.select(text.alias("u"), F.lag(text).over(by).alias("v")).where("v IS NOT NULL").where(_may_hold(similarity))
+    return pairs.select(*_pair(F.col("u.same"), F.col("v.same")))
 
 
 def _between(posted: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -257,19 +298,20 @@ def _between(posted: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     Under a shingle, texts outside the largest class meet all texts; where these are many, both sides are cut into pieces and each
     piece of one meets each piece of the other.
     """
-    named = stage(posted.join(classes, posted["same"] == classes["node"], "left").select("gram", "same", "size", *_SKETCH, F.coalesce("least", "same").alias("class")))
+    named = posted.join(classes, posted["same"] == classes["node"], "left").select("gram", "same", "size", "pos", F.coalesce("least", "same").alias("class"))
+    named = stage(named)
     per = named.groupBy("gram", "class").agg(F.count("*").alias("k"))
     per = per.groupBy("gram").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
     per = per.select("gram", "main", F.ceil(F.col("others") / CELL[0]).cast("int").alias("p"), F.ceil(F.col("n") / CELL[1]).cast("int").alias("q"))
-    cut = stage(named.join(side(stage(per)), "gram"))
-    text = F.struct("same", "size", *_SKETCH, "class", "main")
+    cut = stage(named.join(stage(per), "gram"))
+    text = F.struct("same", "size", "pos", "class", "main")
     piece = lambda n: F.pmod(F.xxhash64("same", "gram"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     u = cut.where("class <> main").select("gram", text.alias("u"), piece("p").alias("p"), all_of("q").alias("q"))
     v = cut.select("gram", text.alias("v"), piece("q").alias("q"), all_of("p").alias("p"))
     once = (F.col("v.class") == F.col("v.main")) | (F.col("u.same") < F.col("v.same"))
-    pairs = u.join(v, ["gram", "p", "q"]).where((F.col("u.class") != F.col("v.class")) & once & _may(similarity))
-    return pairs.select(F.least("u.same", "v.same").alias("u"), F.greatest("u.same", "v.same").alias("v")).distinct()
+    pairs = u.join(v, ["gram", "p", "q"]).where((F.col("u.class") != F.col("v.class")) & once & _may_hold(similarity))
+    return pairs.select(*_pair(F.col("u.same"), F.col("v.same"))).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:

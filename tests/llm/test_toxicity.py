@@ -41,7 +41,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_passages_lie_where_the_words_are(spark, documents):
-    model = T.Model({"awful": 6.0, "vile*": 5.0}, rate=1.0, size=0.1, slope=1.0, shift=0.0)
+    model = T.Model({"awful": 6.0, "vilen*": 5.0}, rate=1.0, size=0.1, slope=1.0, shift=0.0)
     docs = documents((1, "calm " * 50 + "awful awful vileness " + "calm " * 100 + "awful awful"), (2, "calm words"), (3, None))
     got = sorted((r["doc_id"], r["first_word"], r["last_word"]) for r in T.passages(docs, model).collect())
     assert got == [(1, 50, 53), (1, 153, 155)]
