@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks.views import base
 from shelfscope.plans import jobs
 from shelfscope.session import scratch_path
-from shelfscope.sources import files
 from shelfscope.sources.pages import with_context
 from shelfscope.sources.tables import KeyedTable
 
@@ -91,12 +90,11 @@ def upsert_repeated_keys(spark, sf):
 @query("older_part_reads_defaults", """
 SELECT printf('B%09d', p_partkey) AS asin, p_name AS title, '' AS bought_count, 0 AS bought_count_number FROM part""")
 def older_part_reads_defaults(spark, sf):
-    """A part written before two columns were added, and one with them for a single other key."""
+    """Files written before two columns were added, taken up as a table, and a row with them for a single other key."""
     path = scratch_path(spark, "older")
     table = KeyedTable(spark, path, "products")
     old = base(spark, sf, "part").select(F.format_string("B%09d", "p_partkey").alias("asin"), F.lit("b").alias("brand"), F.col("p_name").alias("title"))
-    name = table._new_part(1)
-    old.write.parquet(table._part(name))
-    files.create_text(spark, f"{table.path}/_manifests/000000001.json", '{"parts": ["%s"]}' % name)
+    old.write.parquet(f"{path}/old")
+    table.migrate_from(spark.read.parquet(f"{path}/old"))
     table.upsert(spark.createDataFrame([("other", "b")], "asin string, brand string"))
     return table.read().where("asin <> 'other'").select("asin", "title", "bought_count", "bought_count_number")

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from shelfscope.operators import extract_product, extract_review, extract_search, filters, merged, paging, stats
 from shelfscope.operators.dedup import first_listing, newest_page
 from shelfscope.operators.joins import in_work_list
+from shelfscope.operators.membership import likely_in
 from shelfscope.operators.quality import is_blocked, is_captcha, is_refused
 from shelfscope.operators.ranking import top_for_review
+from shelfscope.schemas import PAGE_BUCKET
 from shelfscope.session import scratch_scope, stage
 from shelfscope.sources import records
+from shelfscope.sources.pages import BUCKETS, page_bucket
 from shelfscope.sources.tables import Store
 
-# Work lists up to this many asins (some 20 bytes each) are broadcast to the page scan.
-BROADCAST_ASINS = 1_000_000
+# Work lists up to this many asins are written into the scan's filter, where Parquet skips row groups by them.
+LITERAL_ASINS = 1_000
 
 
 @dataclass
@@ -37,19 +40,30 @@ class Settings:
 
 
 def _of_kind(pages: DataFrame, kind: str) -> DataFrame:
-    return pages.where(F.col("page_kind") == kind)
+    return pages.where(F.col("page_kind") == kind).drop(PAGE_BUCKET)
 
 
-def for_asins(pages: DataFrame, asins: DataFrame, extract) -> DataFrame:
-    """``extract`` applied to the pages of a work list, without ever shuffling page HTML.
+def pages_of(pages: DataFrame, asins: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The pages that a work list of any length is likely to mean; all those it means are among them.
 
-    A list of checked size goes to the scan and spares the other pages their parse. A longer one is joined with
-    the extracted rows, which are small.
+    A page store laid out by asin is read in the folders of the listed asins only. Of these, a short list picks row groups by the asins
+    themselves, and a membership filter of bounded size the pages that are worth parsing. No page HTML is shuffled.
     """
+    asins = asins.select("asin").where("asin IS NOT NULL")
+    if PAGE_BUCKET in pages.columns:
+        numbers = asins.select(page_bucket(F.col("asin"), buckets).alias("n")).distinct().collect()  # at most as many as folders
+        pages = pages.where(F.col(PAGE_BUCKET).isin(sorted(r["n"] for r in numbers)))
+    short = [r["asin"] for r in asins.limit(LITERAL_ASINS + 1).collect()]
+    if len(short) <= LITERAL_ASINS:
+        return pages.where(F.col("asin").isin(short))
+    return likely_in(pages, asins, "asin", asins.count())
+
+
+def for_asins(pages: DataFrame, asins: DataFrame, extract) -> DataFrame:
+    """``extract`` applied to the pages of a work list. Pages that a membership filter let through by chance go when rows are extracted."""
     asins = stage(asins.select("asin").distinct())
-    if asins.count() <= BROADCAST_ASINS:
-        return extract(pages.join(F.broadcast(asins), "asin", "left_semi"))
-    return in_work_list(extract(pages), asins, ["page_id"], counted=pages)
+    likely = pages_of(pages, asins)
+    return in_work_list(extract(likely), asins, ["page_id"], counted=likely)
 
 
 # ---- search -----------------------------------------------------------------------------------

@@ -12,6 +12,9 @@ PAGES = (
     "page_no int, asin string, brand string, fetched_at timestamp"
 )
 
+# A page store may be laid out in folders by this number as well.
+PAGE_BUCKET = "page_bucket"
+
 SEARCH_RESULTS = (
     "asin string not null, brand string, search_keyword string, search_rank bigint, title string, price string, "
     "original_price string, rating double, rating_count bigint, is_sponsored int, is_amazon_choice int, "

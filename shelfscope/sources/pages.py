@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope import schemas
@@ -16,12 +16,15 @@ KEYWORD = r"[?&]k=([^&#]*)"
 SEARCH_PAGE = r"[?&]page=(\d+)"
 REVIEW_PAGE = r"[?&]pageNumber=(\d+)"
 
+#: Folders by asin (search pages: by keyword) within a kind. A store is written and read with one number; a store of many terabytes takes thousands.
+BUCKETS = 64
+
 # Parsing a page is CPU work, so scan splits should be small: a reader cannot split below a row group.
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A stored page table. Context columns it has are taken as they are, so a filter on ``page_kind`` still
+    """A stored page table. Context columns it has are taken as they are, so a filter on ``page_kind`` or the bucket still
     picks folders; those it lacks come from the address."""
     return with_context(spark.read.parquet(path), fill_nulls=False)
 
@@ -49,10 +52,24 @@ def with_context(pages: DataFrame, fill_nulls: bool = True) -> DataFrame:
             stored = F.col(field.name)
             value = F.coalesce(stored, value) if fill_nulls and field.name in derived else stored
         out.append(value.cast(field.dataType).alias(field.name))
-    return pages.select(*out)
+    return pages.select(*out, *(c for c in (schemas.PAGE_BUCKET,) if c in pages.columns))
+
+
+def page_bucket(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(key, F.lit(""))), F.lit(buckets)).cast("int")
 
 
 def write_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
     """Keep raw pages for later extraction, one folder per kind so a job reads only its own."""
     writer = pages.write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES)
     writer.partitionBy("page_kind").parquet(path)
+
+
+def write_page_store(pages: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
+    """``write_pages`` laid out for work lists: folders by kind and bucket, rows by asin, so a list of products reads the row groups that may hold them.
+
+    This is the one place where HTML goes through an exchange: once, when pages are stored.
+    """
+    laid = pages.withColumn(schemas.PAGE_BUCKET, page_bucket(F.coalesce("asin", "keyword"), buckets)).hint("rebalance", "page_kind", schemas.PAGE_BUCKET)
+    writer = laid.sortWithinPartitions("page_kind", schemas.PAGE_BUCKET, "asin", "page_no").write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES)
+    writer.partitionBy("page_kind", schemas.PAGE_BUCKET).parquet(path)

@@ -3,11 +3,12 @@
 Spark refuses MERGE on Parquet and cannot overwrite a path it reads, so an upsert writes its batch as a
 new part and then publishes, in one new manifest file, which parts make up the table. A write therefore costs
 its batch, not the table; readers see the old or the new manifest, never half a write; two
-writers racing for one manifest number cannot both win. Reading more than one part takes the latest row per key.
+writers racing for one manifest number cannot both win.
 
-After ``MAX_PARTS`` upserts the parts behind the first are folded into one, and the first is only folded in once
-they have grown to ``REWRITE_SHARE`` of it: a large table is rewritten after it has grown by that share, not
-after a number of batches. A table of one part reads as a plain scan.
+Parts are written in folders by bucket of the first key column, so what concerns some keys reads the folders of their buckets alone. A reader of
+several parts takes the latest row per key of the later ones and, of the first, the rows these do not replace: the large first part
+is filtered where it lies, without an exchange. After ``MAX_PARTS`` upserts the later parts are folded into one, and into the first
+once they have grown to ``REWRITE_SHARE`` of it.
 """
 
 from __future__ import annotations
@@ -21,28 +22,49 @@ from pyspark.sql import functions as F
 from shelfscope import schemas
 from shelfscope.functions import text as X
 from shelfscope.operators.dedup import last_per_unique_key
+from shelfscope.session import stage
 from shelfscope.sources import files
 
 MAX_PARTS = 8
 REWRITE_SHARE = 0.25
+#: Folders of a part. A table keeps the number it was created with.
+BUCKETS = 32
+#: Keys (some hundred bytes each at most) that are sent to all executors; more are joined by a shuffle. Counted first.
+BROADCAST_KEYS = 200_000
+BUCKET = "_bucket"
+
+
+def bucket_of(value: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, root: str, name: str, preserve_created_at: bool = False):
+    def __init__(self, spark: SparkSession, root: str, name: str, preserve_created_at: bool = False, buckets: int = BUCKETS):
         self.spark, self.name, self.path = spark, name, f"{root}/{name}"
         self.schema, self.keys = schemas.struct(schemas.TABLES[name]), schemas.KEYS[name]
         self.preserve_created_at = preserve_created_at
+        self.buckets = buckets
 
     # manifest -------------------------------------------------------------------------------
+    def version(self) -> int:
+        """Number of the newest manifest, 0 without one."""
+        return max((int(n[:-5]) for n in files.names(self.spark, f"{self.path}/_manifests") if n.endswith(".json")), default=0)
+
+    def _manifest(self, number: int) -> dict:
+        if not number:
+            return {"parts": [], "rows": {}}
+        return {"rows": {}} | json.loads(files.read_text(self.spark, f"{self.path}/_manifests/{number:09d}.json"))
+
     def _latest(self) -> tuple[int, list[str]]:
-        numbers = [int(n[:-5]) for n in files.names(self.spark, f"{self.path}/_manifests") if n.endswith(".json")]
-        if not numbers:
-            return 0, []
-        newest = max(numbers)
-        return newest, json.loads(files.read_text(self.spark, f"{self.path}/_manifests/{newest:09d}.json"))["parts"]
+        number = self.version()
+        return number, self._manifest(number)["parts"]
 
-    def _publish(self, number: int, parts: list[str]) -> None:
-        files.create_text(self.spark, f"{self.path}/_manifests/{number:09d}.json", json.dumps({"parts": parts}))
+    def _publish(self, number: int, parts: list[str], rows: dict[str, int]) -> None:
+        """``rows`` holds the number of rows of each part, which tells how parts are best read together."""
+        known = self._manifest(number - 1)
+        kept = {p: n for p, n in (known["rows"] | rows).items() if p in parts}
+        text = json.dumps({"parts": parts, "rows": kept, "buckets": known.get("buckets", self.buckets)})
+        files.create_text(self.spark, f"{self.path}/_manifests/{number:09d}.json", text)
 
     def _part(self, name: str) -> str:
         return f"{self.path}/part={name}"
@@ -52,45 +74,112 @@ class KeyedTable:
         """Sorts by write order; the suffix keeps two writers out of one folder."""
         return f"{number:09d}-{uuid.uuid4().hex[:8]}"
 
+    def _write_part(self, name: str, rows: DataFrame, buckets: int) -> int:
+        """Write ``rows`` in folders by bucket; how many there are."""
+        laid = rows.withColumn(BUCKET, bucket_of(F.col(self.keys[0]), buckets)).hint("rebalance", BUCKET)
+        laid.write.partitionBy(BUCKET).parquet(self._part(name))
+        if not any(n.startswith(f"{BUCKET}=") for n in files.names(self.spark, self._part(name))):
+            return 0
+        return self.spark.read.schema(self.schema).parquet(self._part(name)).count()  # from the files' footers
+
     def exists(self) -> bool:
-        return self._latest()[0] > 0
+        return self.version() > 0
 
     # reading --------------------------------------------------------------------------------
-    def read(self) -> DataFrame:
-        return self._rows(self._latest()[1])
+    def read(self, version: int | None = None) -> DataFrame:
+        manifest = self._manifest(self.version() if version is None else version)
+        return self._rows(manifest["parts"], manifest["rows"])
+
+    def of_keys(self, keys: DataFrame) -> DataFrame:
+        """Rows whose first key column is listed in that of ``keys``, from the folders of these alone."""
+        manifest = self._manifest(self.version())
+        wanted = stage(keys.select(self.keys[0]).distinct())
+        rows = self._rows(manifest["parts"], manifest["rows"], self._buckets_of(wanted, manifest))
+        return rows.join(self._sent(wanted, wanted.count()), self.keys[0], "left_semi")
+
+    def _buckets_of(self, keys: DataFrame, manifest: dict) -> list[int]:
+        """At most as many numbers as a part has folders."""
+        number = bucket_of(F.col(self.keys[0]), manifest.get("buckets", self.buckets))
+        return sorted(r[0] for r in keys.select(number.alias("n")).distinct().collect())
+
+    @staticmethod
+    def _sent(keys: DataFrame, count: int) -> DataFrame:
+        return F.broadcast(keys) if count <= BROADCAST_KEYS else keys
 
-    def _rows(self, parts: list[str]) -> DataFrame:
+    @staticmethod
+    def _count(parts: list[str], counts: dict[str, int]) -> int:
+        """Rows of parts; a part of unknown size counts as a large one."""
+        return sum(counts.get(p, BROADCAST_KEYS + 1) for p in parts)
+
+    def _rows(self, parts: list[str], counts: dict[str, int], buckets: list[int] | None = None) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self.schema)
+        base = self._part_rows(parts[0], buckets)
         if len(parts) == 1:
-            return self._part_rows(parts[0])
-        rows = self._part_rows(parts[0]).withColumn("part", F.lit(parts[0]))
+            return base
+        later = None
         for part in parts[1:]:
-            rows = rows.unionByName(self._part_rows(part).withColumn("part", F.lit(part)))
-        return self._latest_per_key(rows, ["part"]).select(*self.schema.names)
-
-    def _part_rows(self, part: str) -> DataFrame:
+            rows = self._part_rows(part, buckets).withColumn("part", F.lit(part))
+            later = rows if later is None else later.unionByName(rows)
+        # A key with a NULL is like no other, here as in any join.
+        replaced = self._sent(later.select(*self.keys), self._count(parts[1:], counts))
+        kept = base.join(replaced, self.keys, "left_anti")
+        latest = last_per_unique_key(later, self.keys, ["part"]).drop("part")
+        if self.preserve_created_at:
+            copies = later.select(*self.keys, "created_at").unionByName(base.select(*self.keys, "created_at").join(replaced, self.keys, "left_semi"))
+            born = copies.dropna(subset=self.keys).groupBy(*self.keys).agg(F.min("created_at").alias("_born"))
+            latest = latest.join(born, self.keys, "left").withColumn("created_at", F.coalesce("_born", "created_at"))
+        return kept.unionByName(latest.select(*self.schema.names))
+
+    def _part_rows(self, part: str, buckets: list[int] | None = None) -> DataFrame:
         """A part in the table's columns; one written before a column was added holds that column's default."""
         stored = self.spark.read.parquet(self._part(part))
+        if buckets is not None:
+            stored = stored.where(F.col(BUCKET).isin(buckets))
         if set(self.schema.names) <= set(stored.columns):
-            return self.spark.read.schema(self.schema).parquet(self._part(part))
+            return stored.select(*(F.col(f.name).cast(f.dataType) for f in self.schema))
         return migrate(stored, self.name).select(*(F.col(f.name).cast(f.dataType) for f in self.schema))
 
-    def _latest_per_key(self, rows: DataFrame, order: list[str]) -> DataFrame:
-        kept = last_per_unique_key(rows, self.keys, order)
-        if not self.preserve_created_at:
-            return kept
-        born = rows.dropna(subset=self.keys).groupBy(*self.keys).agg(F.min("created_at").alias("_born"))
-        joined = kept.join(born, self.keys, "left")
-        return joined.withColumn("created_at", F.coalesce("_born", "created_at")).drop("_born")
+    def changes(self, since: int, upto: int | None = None) -> DataFrame:
+        """The rows that versions ``since`` and ``upto`` differ in, with ``change``: -1 as they were, 1 as they are.
+
+        A key of a part that only one of them has is looked up in both, in the folders of such keys. A row that was merely folded comes
+        with both signs. The manifests must not have been purged.
+        """
+        old, new = self._manifest(since), self._manifest(self.version() if upto is None else upto)
+        keyless = " OR ".join(f"{k} IS NULL" for k in self.keys)
+        only = {-1: [p for p in old["parts"] if p not in new["parts"]], 1: [p for p in new["parts"] if p not in old["parts"]]}
+        counts = old["rows"] | new["rows"]
+        out = self.spark.createDataFrame([], self.schema).withColumn("change", F.lit(1))
+        if not only[-1] and not only[1]:
+            return out
+        touched = None
+        for part in only[-1] + only[1]:
+            keys = self._part_rows(part).select(*self.keys)
+            touched = keys if touched is None else touched.unionByName(keys)
+        touched = stage(touched.distinct())
+        buckets, sent = self._buckets_of(touched, new), self._sent(touched, self._count(only[-1] + only[1], counts))
+        for sign, manifest in ((-1, old), (1, new)):
+            rows = self._rows(manifest["parts"], manifest["rows"], buckets).join(sent, self.keys, "left_semi")
+            for part in only[sign]:
+                rows = rows.unionByName(self._part_rows(part).where(keyless))
+            out = out.unionByName(rows.withColumn("change", F.lit(sign)))
+        return out
 
     # writing --------------------------------------------------------------------------------
     def create(self) -> "KeyedTable":
         """Publish an empty table unless there is one."""
         if not self.exists():
-            self._publish(1, [])
+            self._publish(1, [], {})
         return self
 
+    def migrate_from(self, rows: DataFrame) -> "KeyedTable":
+        """Take up the rows of an older table, whatever columns it lacked, as the first part of a new one."""
+        if self.exists():
+            raise ValueError(f"{self.path} holds a table already")
+        self.create()
+        return self.upsert(migrate(rows, self.name))
+
     def conform(self, rows: DataFrame) -> DataFrame:
         """Records to the table's columns: missing ones take their defaults, flags become 0/1, both
         timestamps are this write's time."""
@@ -123,11 +212,11 @@ class KeyedTable:
         order = ["seq", "_hash"] if "seq" in batch.columns else ["_hash"]
         batch = last_per_unique_key(hashed, self.keys, order).drop("seq", "_hash")
         part = self._new_part(number + 1)
-        batch.write.parquet(self._part(part))
-        if self.spark.read.schema(self.schema).parquet(self._part(part)).isEmpty():
+        count = self._write_part(part, batch, self._manifest(number).get("buckets", self.buckets))
+        if not count:
             files.remove(self.spark, self._part(part))
             return self
-        self._publish(number + 1, [*parts, part])
+        self._publish(number + 1, [*parts, part], {part: count})
         if len(parts) + 1 > MAX_PARTS:
             base, *later = self._latest()[1]
             grown = sum(files.size(self.spark, self._part(p)) for p in later)
@@ -148,15 +237,16 @@ class KeyedTable:
         kept, folded = ([], parts) if whole else (parts[:1], parts[1:])
         if len(folded) > 1:
             part = self._new_part(int(folded[-1][:9]))  # takes the place of the last part folded into it
-            self._rows(folded).write.parquet(self._part(part))
-            self._publish(number + 1, [*kept, part])
+            manifest = self._manifest(number)
+            count = self._write_part(part, self._rows(folded, manifest["rows"]), manifest.get("buckets", self.buckets))
+            self._publish(number + 1, [*kept, part], {part: count})
         return self
 
     def reset(self, confirm: bool = False) -> "KeyedTable":
         """Empty the table, keeping its schema."""
         if not confirm:
             raise ValueError("emptying a table needs confirm=True")
-        self._publish(self._latest()[0] + 1, [])
+        self._publish(self._latest()[0] + 1, [], {})
         return self
 
     def purge(self) -> "KeyedTable":

@@ -56,10 +56,10 @@ def test_jobs_tell_what_came_of_them(spark, folder, pages):
     assert [tuple(r) for r in spark.read.json(f"{folder}/files/search_outcome").select("kept", "rejected").collect()] == [(0, 2)]
 
 
-def test_long_work_lists_are_joined_after_extraction(spark, folder, pages, monkeypatch):
-    asins = spark.createDataFrame([("B0OTHER001",)], "asin string")
+def test_work_lists_of_any_length_give_their_pages(spark, pages, monkeypatch):
+    asins = spark.createDataFrame([("B0OTHER001",), (None,)], "asin string")
     short = jobs.for_asins(pages, asins, lambda p: jobs.product_details(p, jobs.Settings()))
-    monkeypatch.setattr(jobs, "BROADCAST_ASINS", 0)
+    monkeypatch.setattr(jobs, "LITERAL_ASINS", 0)
     long = jobs.for_asins(pages, asins, lambda p: jobs.product_details(p, jobs.Settings()))
     assert [r.asin for r in short.collect()] == [r.asin for r in long.collect()] == ["B0OTHER001"]
 

@@ -73,9 +73,9 @@ def test_an_unpublished_part_is_not_seen(spark, folder):
 
 def test_two_writers_cannot_publish_the_same_version(spark, folder):
     table = KeyedTable(spark, folder, "products").create()
-    table._publish(2, [])
+    table._publish(2, [], {})
     with pytest.raises(Exception):
-        table._publish(2, [])
+        table._publish(2, [], {})
 
 
 def test_a_folded_table_is_a_plain_scan_with_pushdown(spark, folder):
