@@ -98,3 +98,25 @@ def older_part_reads_defaults(spark, sf):
     table.migrate_from(spark.read.parquet(f"{path}/old"))
     table.upsert(spark.createDataFrame([("other", "b")], "asin string, brand string"))
     return table.read().where("asin <> 'other'").select("asin", "title", "bought_count", "bought_count_number")
+
+
+@query("search_past_broken_items", """
+SELECT printf('B%09d', o_orderkey) AS asin, CAST(1 AS BIGINT) AS search_rank, NULL AS fault FROM orders
+UNION ALL SELECT printf('C%09d', o_orderkey), CAST(3 AS BIGINT), NULL FROM orders
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, '1:BrokenText' FROM orders""")
+def search_past_broken_items(spark, sf):
+    """Each order is the one page of a keyword that lists three items under an apology; the second holds a number that is no character."""
+    item = '<div data-component-type="s-search-result" data-asin="{asin}"><h2><span>{title}</span></h2></div>'
+    orders = base(spark, sf, "orders").select("o_orderkey")
+    broken = F.concat(F.lit("<p>&#"), F.repeat(F.lit("9"), 5000), F.lit(";</p>"))
+    html = F.concat(
+        F.lit("<title>Amazon.com : sorry</title>"),
+        _text(item, asin=F.format_string("B%09d", "o_orderkey"), title=F.lit("We're Sorry: a novel of apologies")),
+        _text(item, asin=F.format_string("X%09d", "o_orderkey"), title=broken),
+        _text(item, asin=F.format_string("C%09d", "o_orderkey"), title=F.lit("Sorry! Something went wrong, a game")),
+    )
+    url = F.format_string("https://www.amazon.com/s?k=%d&page=1", "o_orderkey")
+    rows = jobs.stage(jobs.search_rows(with_context(orders.select(F.col("o_orderkey").alias("page_id"), url.alias("url"), html.alias("html"))), jobs.Settings()))
+    items = rows.where("asin IS NOT NULL").select("asin", "search_rank", F.lit(None).cast("string").alias("fault"))
+    faults = jobs.fault_rows(rows, ["search_keyword"])
+    return items.unionByName(faults.select(F.col("search_keyword").alias("asin"), F.lit(None).cast("bigint").alias("search_rank"), F.concat_ws(":", "pos", "kind").alias("fault")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import pages, refusals, relational, runs, scalars, stores, streams
+from checks import pages, refusals, relational, runs, scalars, stores, streams, upkeep
 
-_MODULES = (relational, scalars, pages, stores, runs, refusals, streams)
+_MODULES = (relational, scalars, pages, stores, runs, refusals, streams, upkeep)
 
 
 def queries() -> dict:

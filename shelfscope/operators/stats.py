@@ -133,7 +133,11 @@ def brand_dashboards(search: DataFrame, products: DataFrame, reviews: DataFrame,
     progress = brand_progress(search, products, reviews, brand)
     if brand is not None:
         products, reviews = products.where(F.col("brand") == brand), reviews.where(F.col("brand") == brand)
-    of_products, of_reviews = _brand_figures(products, reviews, ["brand"])
+    return dashboards_of(progress, *_brand_figures(products, reviews, ["brand"]))
+
+
+def dashboards_of(progress: DataFrame, of_products: DataFrame, of_reviews: DataFrame) -> DataFrame:
+    """Figures per brand put side by side."""
     out = progress
     for figures in (of_products, of_reviews):  # a brand that is not known is a brand of its own
         out = out.join(figures.withColumnRenamed("brand", "_brand"), out["brand"].eqNullSafe(F.col("_brand")), "left").drop("_brand")

@@ -265,9 +265,9 @@ class KeyedTable:
 class Store:
     """The four tables below one folder."""
 
-    def __init__(self, spark: SparkSession, root: str, preserve_created_at: bool = False):
+    def __init__(self, spark: SparkSession, root: str, preserve_created_at: bool = False, buckets: int = BUCKETS):
         self.spark, self.root = spark, root
-        self.tables = {n: KeyedTable(spark, root, n, preserve_created_at) for n in schemas.TABLES}
+        self.tables = {n: KeyedTable(spark, root, n, preserve_created_at, buckets) for n in schemas.TABLES}
 
     def create(self) -> "Store":
         for table in self.tables.values():
