@@ -169,7 +169,7 @@ def near_copies(
         often = np.zeros(BUCKETS, dtype=np.int64)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(_SKETCH), pa.list_(pa.int64())]
         names = ["doc_id", "same", "print", "size", *_SKETCH, "often"]
-        for b in batches:
+        for b in _short(batches):
             same, prints, size, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 own = words(t)
@@ -196,11 +196,15 @@ def near_copies(
         for r in counted.collect():
             often[r["bucket"]] = r["n"]
         posted = _posted(narrow, often, shingle, similarity)
-        proposed = _balls(nodes.where("size > 0")).union(_chained(posted, similarity)).distinct()
-        first = staged_alone(spark, lambda: _verified(_sketched(proposed, nodes, similarity), nodes, narrow, shingle, similarity))
-        classes = staged_alone(spark, lambda: components(first))
-        left = staged_alone(spark, lambda: _verified(_sketched(_between(posted, classes, similarity), nodes, similarity), nodes, narrow, shingle, similarity))
-        return components(first.union(left)) if not left.isEmpty() else classes
+        classes = spark.createDataFrame([], "node long, least long")
+        # Only texts that no earlier proposal has linked are compared.
+        for propose in (lambda _: _balls(nodes.where("size > 0")), lambda _: _chained(posted, similarity), lambda known: _between(posted, known, similarity)):
+            near = _sketched(_unlinked(propose(classes).distinct(), classes), nodes, similarity)
+            found = staged_alone(spark, lambda near=near: _verified(near, nodes, narrow, shingle, similarity))
+            linked = classes.select(F.col("node").alias("u"), F.col("least").alias("v")).union(found)
+            if not found.isEmpty():
+                classes = staged_alone(spark, lambda linked=linked: components(linked))
+        return classes
 
     linked = staged_alone(spark, links)
     labelled = stage(nodes.join(linked, nodes["same"] == linked["node"], "left").select("same", "first", "n", F.coalesce("least", "same").alias("least")))
@@ -209,6 +213,21 @@ def near_copies(
     return look_up(rows.select("doc_id", "same"), stage(named), "same", "n").select("doc_id", "copy_of").where("copy_of < doc_id")
 
 
+def _short(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a worker holds the texts of few rows as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _unlinked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of texts that are not in one class."""
+    known = side(classes)
+    of = lambda end: known.select(F.col("node").alias(end), F.col("least").alias(f"{end}_"))
+    met = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return met.where(F.coalesce("u_", "u") != F.coalesce("v_", "v")).select("u", "v")
+
+
 def _pair(u: Column, v: Column) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
@@ -238,7 +257,7 @@ def _posted(texts: DataFrame, often: np.ndarray, shingle: int, similarity: float
             columns = [np.concatenate(lead).astype(np.int64), np.repeat(np.array(same, dtype=np.int64), counts), np.repeat(np.array(size, dtype=np.int64) << 32, counts) | place]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "same", "at"])
 
-        for b in batches:
+        for b in _short(batches):
             same, size, lead, held = [], [], [], 0
             for t in b.column(1).to_pylist():
                 own = words(t)
@@ -261,7 +280,9 @@ def _posted(texts: DataFrame, often: np.ndarray, shingle: int, similarity: float
     under = Window.partitionBy("gram")
     postings = texts.mapInArrow(run, "gram long, same long, at long")
     met = postings.select("*", F.min("same").over(under).alias("a"), F.max("same").over(under).alias("b")).where("a <> b")
-    return stage(met.select("gram", "same", F.expr("at >> 32").cast("int").alias("size"), F.expr("at & 4294967295").cast("int").alias("pos")).distinct())
+    # Copies in several tasks post several times.
+    once = met.withColumn("before", F.lag("same").over(under.orderBy("same"))).where("before IS NULL OR before <> same")
+    return stage(once.select("gram", "same", F.expr("at >> 32").cast("int").alias("size"), F.expr("at & 4294967295").cast("int").alias("pos")))
 
 
 def _may_hold(similarity: float) -> Column:
@@ -298,7 +319,8 @@ def _between(posted: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     Under a shingle, texts outside the largest class meet all texts; where these are many, both sides are cut into pieces and each
     piece of one meets each piece of the other.
     """
-    named = posted.join(classes, posted["same"] == classes["node"], "left").select("gram", "same", "size", "pos", F.coalesce("least", "same").alias("class"))
+    known = side(classes)
+    named = posted.join(known, posted["same"] == known["node"], "left").select("gram", "same", "size", "pos", F.coalesce("least", "same").alias("class"))
     named = stage(named)
     per = named.groupBy("gram", "class").agg(F.count("*").alias("k"))
     per = per.groupBy("gram").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
@@ -320,19 +342,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     asked = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _short(batches):
             own = [words(t) for t in b.column(1).to_pylist()]
             sets = [gram_set(w, shingle).astype(np.int64) for w in own]
             yield pa.RecordBatch.from_arrays([pa.array(map(text_key, own), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["same", "grams"])
 
     ids = stage(nodes.join(asked, "same", "left_semi").select("first"))
-    # An id may stand at other texts too, and at the same one again.
-    grams = stage(only_ids(texts, ids).mapInArrow(run, "same long, grams array<long>").dropDuplicates(["same"]))
+    # An id may stand at other texts too, and at the same one again. Both sides of a pair are cut anew: cheaper than keeping the lists on disk.
+    grams = only_ids(texts, ids).mapInArrow(run, "same long, grams array<long>")
     a = grams.select(F.col("same").alias("u"), F.col("grams").alias("a"))
     b = grams.select(F.col("same").alias("v"), F.col("grams").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     good = (common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9) & (F.size("a") + F.size("b") > 0)
-    return pairs.join(a, "u").join(b, "v").where(good).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where(good).select("u", "v").distinct()
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
