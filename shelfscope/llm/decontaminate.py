@@ -2,10 +2,11 @@
 
 1. A window can only reach the similarity with an item if it holds one of the item's shingles, so windows are laid where a document
    has shingles of the benchmark: each lies as the item would if the common shingle stood at the same place in both.
-2. Each window is compared exactly with the items that laid it: sum of the smaller by sum of the larger weights over all shingles.
-
-No fingerprint stands between the two: pairs at the similarity differ in ten of 64 bits on average, and any radius loses some.
-``within_radius`` is for callers that have fingerprints only.
+2. Windows and items get SimHash fingerprints of their shingles. Eight blocks of eight bits, items listed under all values that differ in up to
+   two bits of a block, find every pair within ``RADIUS`` bits: of 23 differing bits, some block has two at most.
+3. These pairs are compared exactly: sum of the smaller by sum of the larger weights over all shingles.
+4. Pairs at the similarity differ in ten of 64 bits on average, so few lie beyond the radius, but some may. The items that laid a window and are not
+   near its fingerprint are compared with it exactly as well, which makes the result whole.
 
 Columns and joins only. Documents are read twice: for the places of benchmark shingles, and for the words of windows.
 """
@@ -20,7 +21,7 @@ from shelfscope.session import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS, BLOCKS, RADIUS = 64, 8, 15
+BITS, BLOCKS, RADIUS = 64, 8, 23
 _WIDTH = BITS // BLOCKS
 
 
@@ -38,8 +39,10 @@ def shingles(words: str, k: int = SHINGLE) -> Column:
 
 def simhash(hashes: str) -> Column:
     """Bit b is set if it is set in over half of the hashes; 0 for none."""
-    bit = "CASE WHEN aggregate({h}, 0L, (a, x) -> a + (shiftright(x, {b}) & 1)) * 2 > size({h}) THEN shiftleft(1L, {b}) ELSE 0L END"
-    return F.expr(" | ".join(bit.format(h=hashes, b=b) for b in range(BITS)))
+    # One pass over the list counts bits b and b + 32, in the two halves of a number.
+    count = f"aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, b) & 4294967297L))"
+    low, high = (f"IF({c} * 2 > size({hashes}), shiftleft(1L, b + {at}), 0L)" for c, at in (("(c & 4294967295L)", 0), ("shiftrightunsigned(c, 32)", 32)))
+    return F.expr(f"aggregate(sequence(0, 31), 0L, (bits, b) -> bits | transform(array({count}), c -> {low} | {high})[0])")
 
 
 def _block(fingerprint: str, number: Column) -> Column:
@@ -49,8 +52,7 @@ def _block(fingerprint: str, number: Column) -> Column:
 def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of a window and an item of its size whose fingerprints differ in at most RADIUS bits; all of them, each once."""
     slack = RADIUS // BLOCKS
-    assert slack <= 1, "items are listed under neighbours by one bit"
-    near = F.array(F.lit(0), *(F.lit(1 << i) for i in range(_WIDTH))) if slack else F.array(F.lit(0))
+    near = F.array(*(F.lit(x) for x in range(1 << _WIDTH) if x.bit_count() <= slack))
     numbers = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     listed = items.select("item_id", "size", "item_print", F.explode(numbers).alias("block"))
     listed = listed.select("item_id", "size", "item_print", "block", F.explode(near).alias("flip"))
@@ -112,21 +114,36 @@ def find(
         .groupBy("doc_id", "size", "words")
         .agg(F.min("start").alias("start"))
         .select("doc_id", "size", "start", shingles("words").alias("shingles"))
+        .withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
+        .withColumn("print", simhash("hashes"))
+        .drop("hashes")
     )
-    # Exact check on the shingles themselves.
-    w = windows.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("size").alias("z"), "shingles")
-    met = pairs.join(w, pairs["doc_id"].eqNullSafe(w["d"]) & (pairs["start"] == w["s"]) & (pairs["size"] == w["z"]))
-    item_shingles = side(items.select(F.col("item_id").alias("i"), F.col("size").alias("z"), F.col("shingles").alias("wanted")))
-    met = met.join(item_shingles, met["item_id"].eqNullSafe(item_shingles["i"]) & (met["size"] == item_shingles["z"]))
+    items = stage(items.withColumn("item_print", simhash("hashes")))
+    close = within_radius(windows.select("doc_id", "start", "size", "print"), items.select("item_id", "size", "item_print"))
+    of = [F.col(c).alias(f"{c}_") for c in ("doc_id", "start", "size", "item_id")]
+    near = close.select(*of)
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("item_id").eqNullSafe(F.col("item_id_")) & (F.col("start") == F.col("start_")) & (F.col("size") == F.col("size_"))
+    near = stage(near)
+    found = _compared(pairs.join(near, same, "left_semi"), windows, items, similarity)
+    rest = _compared(pairs.join(near, same, "left_anti"), windows, items, similarity)
     return (
-        met.select("doc_id", "item_id", "start", "size", weighted_similarity("shingles", "wanted").alias("similarity"))
-        .where(F.col("similarity") >= similarity)
+        found.unionByName(rest)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("best"))
         .select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.size").alias("size"), F.col("best.similarity").alias("similarity"))
     )
 
 
+def _compared(pairs: DataFrame, windows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (doc_id, item_id, start, size) of a window and an item that reach the similarity by the shingles themselves."""
+    w = windows.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("size").alias("z"), "shingles")
+    met = pairs.join(w, pairs["doc_id"].eqNullSafe(w["d"]) & (pairs["start"] == w["s"]) & (pairs["size"] == w["z"]))
+    item_shingles = side(items.select(F.col("item_id").alias("i"), F.col("size").alias("z"), F.col("shingles").alias("wanted")))
+    met = met.join(item_shingles, met["item_id"].eqNullSafe(item_shingles["i"]) & (met["size"] == item_shingles["z"]))
+    compared = met.select("doc_id", "item_id", "start", "size", weighted_similarity("shingles", "wanted").alias("similarity"))
+    return compared.where(F.col("similarity") >= similarity)
+
+
 def weighted_similarity(a: str, b: str) -> Column:
     """Sum of smaller by sum of larger counts over the shingles of two lists.
 
