@@ -63,7 +63,7 @@ accepted AS ({accepted}),
 apart AS (SELECT * FROM accepted o WHERE kind <> 'opaque' OR NOT EXISTS (
   SELECT 1 FROM accepted b WHERE b.r = o.r AND b.kind <> 'opaque' AND b.start < o.stop AND o.start < b.stop)),
 owned AS (SELECT value, count(DISTINCT (doc_id, source)) AS repos, count(DISTINCT coalesce(source, chr(1))) AS owners FROM apart JOIN d USING (r) GROUP BY value),
-judged AS (SELECT apart.*, owners < {secret_scan.EXAMPLE_OWNERS} AND repos < {secret_scan.EXAMPLE_REPOS} AS live, owners FROM apart JOIN owned USING (value)),
+judged AS (SELECT apart.*, owners < {secret_scan.EXAMPLE_OWNERS} AS live, owners FROM apart JOIN owned USING (value)),
 spans AS (SELECT * FROM judged WHERE kind <> 'opaque' OR (live AND owners = 1)),
 per AS (SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secret_scan.BASE)},
   {listed} FILTER ({base}) AS base, {listed} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM spans GROUP BY r)

@@ -7,7 +7,7 @@ hashed as soon as they are found; only hashes are counted and compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import look_up, span_key
@@ -33,10 +33,16 @@ FORMS = {
 #: Long mixed strings: secrets only if one owner alone has the value.
 OPAQUE = ("[A-Za-z0-9+_-]+", 0, 20)
 ORDER = [*BASE, *FORMS, "opaque"]
-#: A value that this many owners hold, or this many repositories, is a copied example.
+#: A value that this many owners hold is a copied example. Repositories of one owner say nothing: a copy of a document is one more of them.
 EXAMPLE_OWNERS = 3
-EXAMPLE_REPOS = 10
 SPAN = "array<struct<kind:string,start:bigint,stop:bigint,hash:string>>"
+#: Matches of a text that are walked in one go: adding to a list copies it, so lists are kept short and put together at the end.
+RUN = 256
+
+
+def _with(value: Column, use) -> Column:
+    """``use`` applied to a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, also=None) -> Column:
@@ -56,7 +62,17 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, also
             F.when(good if also is None else good & also(x["value"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
         )
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step)["out"]
+    long = lambda x: F.coalesce(F.length(x["gap"]), F.lit(0)) + F.coalesce(F.length(x["match"]), F.lit(0))
+    runs_of = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: F.slice(p, i * RUN + 1, RUN))
+    length_of = lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda n, x: n + long(x))
+
+    def walk(runs: Column) -> Column:
+        ends = F.aggregate(runs, F.array(F.lit(0).cast("bigint")), lambda acc, run: F.concat(acc, F.array(F.element_at(acc, -1) + length_of(run))))
+        starts = F.slice(ends, 1, F.size(runs))
+        walked = F.zip_with(runs, starts, lambda run, at: F.aggregate(run, F.struct(at.alias("at"), empty.alias("out")), step)["out"])
+        return F.flatten(walked)
+
+    walked = _with(parts, lambda p: _with(runs_of(p), walk))
     probe = pattern if pattern not in (BASE["hex"][0], OPAQUE[0]) else pattern.removesuffix("+") + "{%d}" % least
     return F.when(F.regexp(text, F.lit(probe)), walked).otherwise(empty)
 
@@ -68,13 +84,25 @@ def _mixed(value: Column) -> Column:
 
 
 def candidates(text: Column) -> tuple[Column, Column]:
-    """(base spans, further spans): what patterns propose. An opaque string that touches another span is none of its own."""
+    """(base spans, further spans): what patterns propose."""
     text = F.coalesce(text, F.lit(""))
     base = F.concat(*(spans_of(text, kind, *BASE[kind]) for kind in BASE))
     forms = F.concat(*(spans_of(text, kind, *FORMS[kind]) for kind in FORMS))
     return base, F.concat(forms, spans_of(text, "opaque", *OPAQUE, also=_mixed))
 
 
+def _apart(spans: DataFrame) -> DataFrame:
+    """``spans`` without opaque ones that touch a span of another kind of the same row.
+
+    One that begins no later reaches into it, or one that begins later begins in it: a running maximum and a running minimum.
+    """
+    other = lambda c: F.when(F.col("kind") != "opaque", F.col(c))
+    up = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    touched = (F.max(other("stop")).over(up) > F.col("start")) | (F.min(other("start")).over(down) < F.col("stop"))
+    return spans.withColumn("touched", touched).where("kind <> 'opaque' OR NOT coalesce(touched, false)").drop("touched")
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, n_repos, n_owners, n_held) of candidates (hash, repo, owner).
 
@@ -90,8 +118,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     """(rows, spans).
 
     ``rows``: one per row of ``docs``, with a row number, the id and the base spans. ``spans``: (row, kind, start, stop, hash, n_repos,
-    n_owners, live) of every accepted span. A span is live if fewer than EXAMPLE_OWNERS owners and EXAMPLE_REPOS repositories hold its
-    value; opaque strings count only if live and held by one owner. A null text is an empty one, a null owner or repository is one of
+    n_owners, live) of every accepted span. A span is live if fewer than EXAMPLE_OWNERS owners hold its value; opaque strings
+    count only if a single owner does and they touch no other span. A null text is an empty one, a null owner or repository is one of
     its own, repeated rows are scanned again. Hashes and places go to the shared scratch folder, no values.
     """
     base, more = candidates(F.col("text"))
@@ -99,10 +127,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner")
     )
     rows = stage(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", base.alias("base"), more.alias("more")))
-    apart = F.filter("more", lambda m: (m["kind"] != "opaque") | ~F.exists(F.concat("base", F.filter("more", lambda x: x["kind"] != "opaque")), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    found = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select("row", "repo", "owner", F.explode(F.concat("base", apart)).alias("s")).select("row", "repo", "owner", "s.*")
+    every = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select("row", "repo", "owner", F.explode(F.concat("base", "more")).alias("s"))
+    found = stage(_apart(every.select("row", "repo", "owner", "s.*")))
     met = look_up(found, stage(ownership(found)), "hash", "n_held")
-    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repos") < EXAMPLE_REPOS)
+    live = F.col("n_owners") < EXAMPLE_OWNERS
     spans = met.select("row", "kind", "start", "stop", "hash", "n_repos", "n_owners", live.alias("live"))
     return rows, spans.where("kind <> 'opaque' OR (live AND n_owners = 1)")
 

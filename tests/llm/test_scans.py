@@ -118,3 +118,22 @@ def test_odd_rows(odd, nothing):
     for scan in (license_scan.scan, lambda d: pii.report(pii.scan(d)), lambda d: secret_scan.report(*secret_scan.scan(d))):
         assert scan(odd).count() == 11 and scan(nothing).count() == 0
     assert {r["n_words"] for r in license_scan.scan(odd).where("doc_id IN (1, 2, 3)").collect()} == {0}
+
+
+def test_secrets_of_a_text_with_very_many_matches(documents):
+    """Work grows with the matches, not with their square; places agree with Python's."""
+    import re
+    import time
+
+    text = "".join(f"token={i:06d}x {i * 7919 % 10**9:x}{i:024x} " for i in range(100_000))
+    start = time.perf_counter()
+    _, spans = secret_scan.scan(documents((1, text), (2, "token=abcdef")))
+    got = {(r["start"], r["stop"]) for r in spans.where("kind = 'assign'").collect()}
+    wanted = {(m.start(), m.end()) for m in re.finditer(r"token=([0-9]{6}x)", text)} | {(0, 12)}
+    assert got == wanted and time.perf_counter() - start < 120
+
+
+def test_copies_of_a_document_do_not_make_a_secret_an_example(documents):
+    _, spans = secret_scan.scan(documents(*((i, "token=abcdef123456", "one owner") for i in range(40)), *((100 + i, "token=shared123456", f"owner {i}") for i in range(4))))
+    live = {r["live"] for r in spans.where("n_owners = 1").collect()}
+    assert live == {True} and {r["live"] for r in spans.where("n_owners = 4").collect()} == {False}
