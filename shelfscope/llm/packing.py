@@ -120,11 +120,11 @@ def pack(
     conflicts with nothing; equal texts conflict, repeated rows too. Bins are told by group and number. Only lengths, sources and
     hashes are shuffled; they pass once through the shared scratch folder.
     """
-    pieces = stage(pieces_of(docs, capacity, id_col, text_col, source_col, length, cluster))
+    # A number of its own deals out equal rows too, whatever share of the table they are.
+    pieces = stage(pieces_of(docs, capacity, id_col, text_col, source_col, length, cluster).withColumn("row", F.monotonically_increasing_id()))
     total = pieces.count()
     groups = max(1, -(-total // group_pieces))
-    # The size is part of the hash so that rows without an id spread as well.
-    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "size"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(groups)).cast("int")).drop("row")
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -93,3 +93,10 @@ def test_rows_are_placed_by_the_table(spark, odd, nothing, folder):
     assert sharding.place(nothing, "doc_id", shards).count() == 0 and sharding.place(odd, "doc_id", shards).count() == 11
     sharding.write_shards(odd, "doc_id", shards, folder)
     assert spark.read.parquet(folder).count() == 11
+
+
+def test_equal_rows_are_dealt_out_like_others(documents):
+    """Two thirds of the rows are one row without an id; no group gets much more than its size."""
+    rows = [(None, "same words again", "s")] * 4_000 + [(i, f"text {i}", "s") for i in range(2_000)]
+    got = packing.pack(documents(*rows), group_pieces=500).groupBy("bin_group").count().collect()
+    assert sum(r["count"] for r in got) == 6_000 and max(r["count"] for r in got) <= 1_000
