@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by cosine: a navigable small-world graph per shard, results of all shards merged.
 
-Vectors are dealt to shards of bounded size by a hash of their ids. Each shard is indexed by one task: a hierarchy of layers, each vector
+Vectors are dealt to shards by a hash of their ids; shards grow with the table up to a bound, so that a query meets as few as can be. Each shard is indexed by one task: a hierarchy of layers, each vector
 in layer 0 and, ever more rarely, in higher ones, with links to near vectors in different directions. A shard's index is one row of flat
-arrays (vectors, ids, and per layer the neighbours, a fixed number for each vector). Queries are dealt into blocks, every block meets every
-shard, and the best of all shards are ranked by exact cosines in double precision. Equal vectors of a shard are one node with all
-their ids, so that a very common vector is neither a clique in the graph nor a tie that hides the smaller id.
+arrays (vectors, ids, and per layer the neighbours, a fixed number for each vector). Queries are dealt into blocks, and blocks into waves. A
+task reads a shard's row, opens it once, and then one block of its wave after the other; so blocks travel to every shard, the far larger
+shards once per wave, and a task holds one shard and one block. The best of all shards are ranked by exact cosines in double precision.
+Equal vectors of a shard are one node with all their ids, so that a very common vector is neither a clique in the graph nor a tie that
+hides the smaller id.
 """
 
 from __future__ import annotations
@@ -20,8 +22,12 @@ from pyspark.sql import functions as F
 
 from shelfscope.session import stage
 
-#: Vectors of a shard, about, and queries of a block.
-SHARD_ROWS, BLOCK_ROWS = 4096, 1024
+#: Vectors of a shard, about: the first so many shards hold the smaller number; then shards grow up to the larger one.
+SHARD_ROWS, FEW_SHARDS, MOST_ROWS = 4096, 16, 16384
+#: Queries of a block, and blocks that one task answers.
+BLOCK_ROWS, WAVE_BLOCKS = 1024, 64
+#: The most partitions of a search; beyond, a task answers for several shards in turn.
+MOST_TASKS = 20_000
 #: Links of a vector in higher layers (twice as many in layer 0), and vectors kept while building and while searching.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 64, 64
 K, QUERY_EVERY = 5, 50
@@ -132,9 +138,14 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True)))
 
 
+def shard_count(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Shards for ``n`` vectors; which shard holds a vector never depends on the cluster."""
+    return max(1, min(-(-n // shard_rows), FEW_SHARDS), -(-n // max(shard_rows, MOST_ROWS)))
+
+
 def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINKS, width: int = BUILD_WIDTH) -> DataFrame:
     """One row per shard and number of dimensions from (vec_id, v)."""
-    shards = max(1, -(-rows.count() // shard_rows))
+    shards = shard_count(rows.count(), shard_rows)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dims", F.size("v"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -172,27 +183,39 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K, width: int = SEAR
         return pd.DataFrame([{"block": key[0], "dims": key[1], "query_ids": frame["vec_id"].to_numpy().astype("<i8").tobytes(), "queries": _matrix(frame["v"]).astype("<f8").tobytes()}])
 
     grouped = stage(asked.groupBy("block", "dims").applyInPandas(gather, "block int, dims int, query_ids binary, queries binary"))
-    # Each shard's row is sent to each block of queries: a stated query set against all rows, in blocks.
-    tasks = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(grouped, ["block", "dims"])
-    tasks = tasks.repartition(tasks.sparkSession.sparkContext.defaultParallelism * 4, "shard", "block")
+    waves = -(-blocks // WAVE_BLOCKS)
+    shards = (indexed.agg(F.max("shard")).first()[0] or 0) + 1
+    # A stated query set against all rows, in blocks. Within (shard, wave, dims) the shard's row, of block -1, comes first.
+    each_wave, each_shard = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (waves, shards))
+    shelves = indexed.withColumn("wave", each_wave).withColumn("block", F.lit(-1))
+    asking = grouped.withColumn("shard", each_shard).withColumn("wave", F.floor(F.col("block") / WAVE_BLOCKS).cast("int"))
+    spread = max(min(shards * waves, MOST_TASKS), indexed.sparkSession.sparkContext.defaultParallelism * 4)
+    tasks = shelves.unionByName(asking, allowMissingColumns=True).repartition(spread, "shard", "wave").sortWithinPartitions("shard", "wave", "dims", "block")
+
+    def answers(r: dict, held: tuple) -> pa.RecordBatch:
+        graph, vectors, bounds, ids = held
+        out = {"query_id": [], "vec_id": [], "score": []}
+        q_ids, q = np.frombuffer(r["query_ids"], dtype="<i8"), np.frombuffer(r["queries"], dtype="<f8").reshape(-1, r["dims"])
+        for q_id, own, unit in zip(q_ids.tolist(), q, _unit(q).astype(np.float32)):
+            nodes = [n for _, n in graph.search(unit, max(width, k + 1))]
+            found = []
+            for n, s in zip(nodes, cosines(own, vectors[nodes]).tolist()):
+                found += [(-s, v) for v in ids[bounds[n] : min(bounds[n + 1], bounds[n] + k + 1)].tolist() if v != q_id]
+            for s, v in sorted(found)[:k]:
+                out["query_id"].append(q_id)
+                out["vec_id"].append(v)
+                out["score"].append(-s)
+        return pa.RecordBatch.from_pydict(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shelf, held = None, None
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                graph, vectors, bounds, ids = _open(r)
-                out = {"query_id": [], "vec_id": [], "score": []}
-                q_ids, q = np.frombuffer(r["query_ids"], dtype="<i8"), np.frombuffer(r["queries"], dtype="<f8").reshape(-1, r["dims"])
-                for q_id, own, unit in zip(q_ids.tolist(), q, _unit(q).astype(np.float32)):
-                    nodes = [n for _, n in graph.search(unit, max(width, k + 1))]
-                    found = []
-                    for n, s in zip(nodes, cosines(own, vectors[nodes]).tolist()):
-                        found += [(-s, v) for v in ids[bounds[n] : min(bounds[n + 1], bounds[n] + k + 1)].tolist() if v != q_id]
-                    for s, v in sorted(found)[:k]:
-                        out["query_id"].append(q_id)
-                        out["vec_id"].append(v)
-                        out["score"].append(-s)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+                if r["block"] < 0:
+                    shelf, held = (r["shard"], r["wave"], r["dims"]), _open(r)
+                elif shelf == (r["shard"], r["wave"], r["dims"]):  # else the shard holds no vectors of so many dimensions
+                    yield answers(r, held)
 
     each = tasks.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

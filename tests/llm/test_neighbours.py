@@ -40,6 +40,19 @@ def test_recall_over_several_shards(spark, monkeypatch):
     assert recall(spark, list(range(3000)), vectors) >= 0.95
 
 
+def test_recall_on_the_table_over_many_shards_and_waves(spark, monkeypatch):
+    """2,000 vectors in five shards, 40 queries in several blocks and waves."""
+    monkeypatch.setattr(ann.index, "__defaults__", (400, *ann.index.__defaults__[1:]))
+    monkeypatch.setattr(ann.search, "__defaults__", (*ann.search.__defaults__[:2], 4))
+    monkeypatch.setattr(ann, "WAVE_BLOCKS", 3)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding IS NOT NULL").dropDuplicates(["vec_id"]).orderBy("vec_id").collect()
+    assert recall(spark, [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float32)) >= 0.95
+
+
+def test_shards_grow_with_the_table():
+    assert [ann.shard_count(n) for n in (0, 1, 4096, 4097, 51_282, 65_536, 262_144, 262_145, 10**9)] == [1, 1, 1, 2, 13, 16, 16, 17, 61_036]
+
+
 def test_a_very_common_vector(spark):
     """Ties go to the smaller id, copies on all sides."""
     rng = np.random.default_rng(2)
