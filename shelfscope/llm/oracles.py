@@ -78,7 +78,7 @@ def pii_sql() -> str:
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": pii.IBAN.pattern,
+        "iban": "[A-Z]{2}[0-9]{2}[A-Za-z0-9_]*",
     }
     found = ",\n".join(_matches(f"m_{k}", "d", k, p, 0) for k, p in patterns.items())
     digits = "regexp_replace(whole, '[^0-9]', '', 'g')"
@@ -92,18 +92,28 @@ def pii_sql() -> str:
         "ip": "len(list_filter(string_split(whole, '.'), lambda p: length(ltrim(p, '0')) > 3 OR cast('0' || substr(ltrim(p, '0'), 1, 4) AS INTEGER) > 255)) = 0",
         "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": f"length({bare}) BETWEEN 15 AND 34 AND {mod}",
     }
     good = " UNION ALL ".join(f"SELECT r, kind, start, stop FROM m_{k} WHERE {test}" for k, test in tests.items())
+    lengths = " ".join(f"WHEN '{country}' THEN {n}" for country, n in pii.IBAN_LENGTHS.items())
+    proposal = pii.IBAN.pattern.removeprefix(r"\b")
+    spaces = "list_filter(range(1, length(p) + 1), lambda i: i = length(p) OR substr(p, i + 1, 1) = ' ')"
     own = " ".join(f"WHEN '{k}' THEN {v}" for k, v in pii.SCORES.items())
     words = " ".join(f"WHEN '{k}' THEN {_list(sorted(v))}" for k, v in pii.WORDS.items())
     near = f"list_distinct(regexp_extract_all(lower(substr(text, greatest(start - {pii.NEARBY}, 0) + 1, start - greatest(start - {pii.NEARBY}, 0)) || ' ' || substr(text, stop + 1, {pii.NEARBY})), '[a-z]+'))"
     place = f"list_position({_list(pii.KINDS)}, kind)"
     listed = f"string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY {place}, start)"
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 {found},
-good AS ({good}),
+-- An account number: at each start of a word that could begin one, each prefix of the proposal that ends with a word; the country's length first, then the longest.
+proposed AS (SELECT r, start, p, unnest({spaces}) AS n FROM (
+  SELECT r, start, regexp_extract(substr(text, start + 1, 80), '^{proposal}') AS p FROM m_iban JOIN d USING (r) WHERE start = 0 OR NOT regexp_matches(substr(text, start, 1), '[A-Za-z0-9_]'))),
+numbers AS (SELECT r, start, start + arg_min(n, (CASE WHEN length({bare}) = (CASE substr(whole, 1, 2) {lengths} ELSE 0 END) THEN 0 ELSE 1 END) * 1000 - n) AS stop
+  FROM (SELECT r, start, n, substr(p, 1, n) AS whole FROM proposed) WHERE length({bare}) BETWEEN 15 AND 34 AND {mod} GROUP BY r, start),
+followed AS (SELECT a.r, a.start, a.stop, min(b.start) AS next FROM numbers a LEFT JOIN numbers b ON b.r = a.r AND b.start >= a.stop GROUP BY a.r, a.start, a.stop),
+taken AS (SELECT * FROM followed WHERE (r, start) IN (SELECT (r, min(start)) FROM followed GROUP BY r)
+  UNION ALL SELECT f.* FROM taken t JOIN followed f ON f.r = t.r AND f.start = t.next),
+good AS ({good} UNION ALL SELECT r, 'iban', start, stop FROM taken),
 scored AS (SELECT r, kind, start, stop, round(least(1.0, greatest(0.0, CASE kind {own} END + {pii.STEP} * len(list_intersect({near}, CASE kind {words} END))
   - {pii.STEP} * len(list_intersect({near}, {_list(sorted(pii.DOUBTS))})))), 6)::DOUBLE AS score FROM good JOIN d USING (r)),
 per AS (SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)}, {listed} FILTER (kind <> 'iban') AS base, {listed} AS spans, max(score) AS score

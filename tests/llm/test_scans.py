@@ -101,6 +101,25 @@ def test_account_numbers_among_other_words():
         assert pii.redact(text).count("<iban>") == len(expected)
 
 
+def test_sql_finds_the_same_account_numbers(spark, documents):
+    import duckdb
+
+    from shelfscope.llm.oracles import ORACLES
+
+    bare, spaced, british = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [
+        f"{bare} BIC COBADEFFXXX", f"{spaced} 2024", f"{spaced} {british}", f"REF AB12 {bare} BIC", f"{bare}BIC", f"{bare[:-1]}1 BIC", f"x{bare}", f"_{bare} é{bare}", f"{bare}_", f"my bank: {british}, {bare}",
+        f"AA00 {british} AA00", f"{bare} {bare}{bare} {spaced} {spaced}", f"ABC{bare} {british}9", None, "", f"{british} " * 50,
+    ]
+    docs = documents(*enumerate(texts))
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    cursor = con.execute(ORACLES["op3_pii"])
+    named = [c[0] for c in cursor.description]
+    got = sorted(tuple(r[c] for c in named) for r in pii.report(pii.scan(docs)).collect())
+    assert got == sorted(cursor.fetchall()) and sum(r[named.index("n_iban")] for r in got) > 60
+
+
 def test_context_words_move_the_score():
     plain, helped, doubted = "zzz 1.2.3.4 zzz", "server ip 1.2.3.4 zzz", "version 1.2.3.4 zzz"
     low, mid, high = (pii.find(t)[0][3] for t in (doubted, plain, helped))
