@@ -27,15 +27,21 @@ END = 1
 COUNTS = "part int, docs long, tokens long, width int"
 #: Chunks of text whose ids a worker remembers; rare ones go when there are more.
 REMEMBERED = 1 << 20
+#: Texts with blanks in all kinds of places: a vocabulary that keeps blanks in its pieces shows on them.
+PROBES = ["Two words, and  more\nof them\n\n  it's 12 345 ", " a b", "x\n", "日本 語 é e\u0301 🙂 ."]
 _tokenizers: dict[str, Encoder] = {}
 
 
+def _chunks(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
+
+
 class Encoder:
     """The ids of a text as bytes, by a tokenizer file.
 
-    White space only parts pieces for this vocabulary and never enters them, so a text may be cut at spaces and line ends and the ids of
-    its chunks be put in a row. Chunks recur; each is encoded once while it is remembered. A text that may hold a special token is
-    encoded whole.
+    Where white space only parts pieces and never enters them, a text may be cut at spaces and line ends and the ids of its chunks be
+    put in a row. Chunks recur; each is encoded once while it is remembered. A text that may hold a special token is encoded whole, and
+    so are all texts if the vocabulary gives a probe other ids when it is cut.
     """
 
     def __init__(self, path: str):
@@ -46,18 +52,19 @@ class Encoder:
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}  # how special tokens begin
         self.seen: dict[str, bytes] = {}
         self.width = 2 if max(self.tokenizer.get_vocab().values()) < 1 << 16 else 4
+        self.cuts = all(self.whole([t])[0] == b"".join(self.whole(_chunks(t))) for t in PROBES)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if any(m in t for m in self.marks) else t.replace("\n", " ").split(" ") for t in (t or "" for t in texts)]
+        cut = [None if not self.cuts or any(m in t for m in self.marks) else _chunks(t) for t in (t or "" for t in texts)]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = list({c for own in cut if own for c in own}.difference(self.seen))
         self.seen.update(zip(new, self.whole(new)))
         ids = self.seen.__getitem__
-        return [self.whole([t])[0] if own is None else b"".join(map(ids, own)) for t, own in zip(texts, cut)]
+        return [self.whole([t or ""])[0] if own is None else b"".join(map(ids, own)) for t, own in zip(texts, cut)]
 
 
 def encoder(path: str) -> Encoder:

@@ -33,6 +33,14 @@ def test_texts_come_back(spark, documents, folder):
     check(rows, T.read(spark, folder).orderBy("start").collect())
 
 
+def test_a_vocabulary_that_keeps_blanks_is_never_cut():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, coder = Tokenizer.from_file(path), T.Encoder(path)
+    texts = ["Two words\nand more", " lead  and trail ", "", None, "a\n\nb"]
+    assert not coder.cuts and T.Encoder(PATH).cuts
+    assert [np.frombuffer(c, dtype=f"<u{coder.width}").tolist() for c in coder.batch(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_documents_of_the_table(spark, folder):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(7)
     T.write(docs, folder, PATH)
