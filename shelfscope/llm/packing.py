@@ -11,9 +11,10 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscope.llm import simhash_dedup
 from shelfscope.session import stage
 
 CAPACITY = 4096
@@ -90,14 +91,28 @@ def pack_group(pieces: pd.DataFrame, capacity: int, source_limit: int) -> pd.Dat
     return pieces.assign(bin=[g[0] for g in got], place=[g[1] for g in got], room=[g[2] for g in got])
 
 
+def _words(text_col: str) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), "")
+
+
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, n, cluster) per row of ``docs``: its length in words and an end mark, and what near copies have in common.
+
+    Clusters are the components of fingerprints (``simhash_dedup``), over all rows; rows without an id or a text have one as well.
+    """
+    row = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), (F.size(_words(text_col)) + 1).alias("n"))
+    prints = simhash_dedup.fingerprints(docs.select(row.alias("_doc"), F.col(text_col).alias("_text")), id_col="_doc", text_col="_text")
+    found = simhash_dedup.classes(stage(prints))
+    return found.select("doc_id.*", F.xxhash64("component_id").alias("cluster"))
+
+
 def pieces_of(docs: DataFrame, capacity: int, id_col: str, text_col: str, source_col: str, length=None, cluster=None) -> DataFrame:
     """(doc_id, source, cluster, piece, start, size): each document cut at multiples of the capacity.
 
     ``length`` is a column or expression that counts a document's tokens, by default its words and an end mark; ``cluster`` one that
     names its cluster of copies, by default a hash of its words.
     """
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = F.array_remove(F.split(text, r"\s+"), "")
+    words = _words(text_col)
     length = (F.size(words) + 1) if length is None else length
     cluster = F.xxhash64(F.array_join(words, " ")) if cluster is None else cluster
     cut = docs.select(

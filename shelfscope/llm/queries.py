@@ -29,7 +29,9 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Neither copies nor near copies share a bin."""
+    rows = packing.clustered(table(spark, sf_dir, "documents"))
+    return packing.pack(rows, length=F.col("n"), cluster=F.col("cluster"))
 
 
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:

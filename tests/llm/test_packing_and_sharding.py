@@ -5,7 +5,9 @@ import random
 import pandas as pd
 import pytest
 
-from shelfscope.llm import packing, sharding
+from pyspark.sql import functions as F
+
+from shelfscope.llm import packing, sharding, simhash_dedup
 
 
 def plain_pack(rows, capacity, limit):
@@ -100,3 +102,17 @@ def test_equal_rows_are_dealt_out_like_others(documents):
     rows = [(None, "same words again", "s")] * 4_000 + [(i, f"text {i}", "s") for i in range(2_000)]
     got = packing.pack(documents(*rows), group_pieces=500).groupBy("bin_group").count().collect()
     assert sum(r["count"] for r in got) == 6_000 and max(r["count"] for r in got) <= 1_000
+
+
+def test_near_copies_share_no_bin(spark, documents):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(600)) for _ in range(20)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in texts]
+    docs = documents(*enumerate(texts + near + texts), (None, None), (None, ""), (7, None, None))
+    rows = packing.clustered(docs)
+    of = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs).where("doc_id < 60 AND component_id <> -1").collect() if r["doc_id"] != 7}
+    assert len(set(of.values())) < 30 and rows.count() == 63
+    bins = {}
+    for r in packing.pack(rows, capacity=2048, length=F.col("n"), cluster=F.col("cluster")).where("doc_id < 60 AND doc_id <> 7").collect():
+        bins.setdefault((r["bin_group"], r["bin"]), []).append(of[r["doc_id"]])
+    assert all(len(set(b)) == len(b) for b in bins.values()) and any(len(b) > 1 for b in bins.values())
