@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: The most rows of two or three narrow columns that are ever sent to all executors (some tens of MB). Sides are counted first;
 #: a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A key is hot if it holds more than this share of the rows, so there are at most 1000 hot keys at any size.
-HOT_SHARE = 0.001
+#: A key is hot if it holds more than the first share of the rows, or more than so many rows and the second share: at most 1,000 hot keys
+#: up to 10^8 rows, and at most 100,000 at any size. No task joins more than 100,000 rows of a key up to 10^10 rows.
+HOT_SHARE, HOT_ROWS, LEAST_SHARE = 0.001, 100_000, 0.00001
 
 
 _shipped: set[str] = set()
@@ -56,11 +57,11 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
 def look_up(rows: DataFrame, facts: DataFrame, key: str, held: str) -> DataFrame:
     """Left join of ``rows`` with one row of ``facts`` per key, whatever share of the rows one key holds.
 
-    ``held`` is the column of ``facts`` that counts a key's rows. Facts of hot keys, at most ``1 / HOT_SHARE`` of them, are
+    ``held`` is the column of ``facts`` that counts a key's rows. Facts of hot keys, at most ``1 / LEAST_SHARE`` of them, are
     broadcast; rows of all other keys are shuffled. ``key`` holds no nulls in ``facts``; rows without facts get nulls.
     """
     total = facts.agg(F.sum(held)).first()[0] or 0
-    facts = facts.withColumn("_hot", F.col(held) > F.lit(HOT_SHARE * total))
+    facts = facts.withColumn("_hot", F.col(held) > F.lit(min(HOT_SHARE * total, max(HOT_ROWS, LEAST_SHARE * total))))
     names = [c for c in facts.columns if c not in (key, "_hot")]
     hot = facts.where("_hot").select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_is_hot"))
     met = rows.join(F.broadcast(hot), rows[key] == hot["_key"], "left").drop("_key")
