@@ -31,6 +31,26 @@ def test_segments_equal_their_definition():
         assert T.segments(scores) == plain_segments(scores)
 
 
+def test_scores_equal_a_plain_recomputation(spark):
+    """Word scores, best segment, surplus over chance, further passages and the curve, worked out by their definitions."""
+    import math
+
+    known = {"awful": 6.0137, "vile": 1.4931, "calm": -0.4719, "vilen*": 5.0273}  # no words sum up to nothing: on such ties the shorter segment counts
+    model = T.Model(known, rate=1.3, size=0.2, slope=0.8, shift=-1.0)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["awful", "Vile", "calm", "vileness", "vilen", "word", "é"], [1, 1, 4, 1, 1, 9, 2], k=rng.randint(0, 30))) for _ in range(50)] + ["", None, "1 2 3"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["j"] for r in frame.select("i", T.judge_column(spark, model, F.col("t")).alias("j")).collect()}
+    for i, text in enumerate(texts):
+        words = [w for w in (text or "").lower().split() if w.isalpha()]
+        scores = [(known["vilen*"] if w.startswith("vilen") else known.get(w, 0.0)) - 0.25 for w in words]
+        surplus = sorted((1.3 * s - math.log(0.2 * max(1, len(words))) for _, _, s in plain_segments(scores)), reverse=True) or [-math.log(0.2 * max(1, len(words)))]
+        large = [s for s in surplus if math.exp(-s) <= 0.05]
+        evidence = surplus[0] + sum(large[1:])
+        assert got[i]["passages"] == len(large) and abs(got[i]["evidence"] - evidence) < 1e-9
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-max(-30, min(30, 0.8 * evidence - 1))))) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
     got = T.predictions(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", F.col("toxic").alias("y"), "score").toPandas()
