@@ -31,8 +31,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Buckets in which shingles are counted for their order, and bits of the sketch by which pairs are refused without their shingles.
 BUCKETS, SKETCH_BITS = 1 << 18, 512
-#: Texts of a shingle that meet in one piece of work, and pieces in which texts of a shingle or fingerprint are chained.
-CELL, PIECES = (256, 4096), 64
+#: Texts of a shingle that meet in one piece of work, texts of a shingle in one chain, orders of chains, and pieces in which texts of a fingerprint are chained.
+CELL, CHAIN, ORDERS, PIECES = (256, 4096), 4096, 32, 64
 _BUCKET, _MIX = np.uint64(BUCKETS - 1), np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = [f"bits{i}" for i in range(SKETCH_BITS // 64)]
 _BITS = np.arange(64, dtype=np.uint64)
@@ -242,7 +242,9 @@ def _balls(nodes: DataFrame) -> DataFrame:
 
 
 def _posted(texts: DataFrame, often: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(gram, same, size, pos): each text under its rarest shingles with their places, those that no other text is under left out.
+    """(gram, same, size, pos, pieces): each text under its rarest shingles with their places, those that no other text is under left out.
+
+    ``pieces`` is the number of chains the texts of a shingle are cut into.
 
     One exchange by shingle; nine in ten shingles stand alone and go there. Near copies share their shingles, so a group of them is spread over as
     many tasks as a text has rarest shingles.
@@ -279,10 +281,10 @@ def _posted(texts: DataFrame, often: np.ndarray, shingle: int, similarity: float
 
     under = Window.partitionBy("gram")
     postings = texts.mapInArrow(run, "gram long, same long, at long")
-    met = postings.select("*", F.min("same").over(under).alias("a"), F.max("same").over(under).alias("b")).where("a <> b")
+    met = postings.select("*", F.min("same").over(under).alias("a"), F.max("same").over(under).alias("b"), F.count("*").over(under).alias("k")).where("a <> b")
     # Copies in several tasks post several times.
     once = met.withColumn("before", F.lag("same").over(under.orderBy("same"))).where("before IS NULL OR before <> same")
-    return stage(once.select("gram", "same", F.expr("at >> 32").cast("int").alias("size"), F.expr("at & 4294967295").cast("int").alias("pos")))
+    return stage(once.select("gram", "same", F.expr("at >> 32").cast("int").alias("size"), F.expr("at & 4294967295").cast("int").alias("pos"), F.ceil(F.col("k") / CHAIN).cast("int").alias("pieces")))
 
 
 def _may_hold(similarity: float) -> Column:
@@ -306,10 +308,17 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def _chained(posted: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of each text with the next one under a shingle, in the same order under all: links most of a large group at little cost."""
+    """Pairs (u, v) of each text with the next one under a shingle: links most of a large group at little cost.
+
+    There are ``ORDERS`` orders, one to a shingle, so a text has about as many partners: were it one order, two neighbours that are not near would part
+    a group. Where the texts of a shingle are cut into pieces, the first ones of the pieces are chained as well.
+    """
     text = F.struct("same", "size", "pos")
-    by = Window.partitionBy("gram", F.pmod("same", F.lit(PIECES))).orderBy("size", "same")
-    pairs = posted.select(text.alias("u"), F.lag(text).over(by).alias("v")).where("v IS NOT NULL").where(_may_hold(similarity))
+    order = (F.xxhash64("same", F.pmod("gram", F.lit(ORDERS))), "same")
+    by = Window.partitionBy("gram", F.pmod("same", F.col("pieces"))).orderBy(*order)
+    within = posted.select("*", text.alias("u"), F.lag(text).over(by).alias("v"))
+    firsts = within.where("v IS NULL AND pieces > 1").select("u", F.lag(text).over(Window.partitionBy("gram").orderBy(*order)).alias("v"))
+    pairs = within.select("u", "v").union(firsts).where("v IS NOT NULL").where(_may_hold(similarity))
     return pairs.select(*_pair(F.col("u.same"), F.col("v.same")))
 
 
