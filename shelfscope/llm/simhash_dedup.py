@@ -198,8 +198,13 @@ def near_copies(
         posted = _posted(narrow, often, shingle, similarity)
         classes = spark.createDataFrame([], "node long, least long")
         # Only texts that no earlier proposal has linked are compared.
-        for propose in (lambda _: _balls(nodes.where("size > 0")), lambda _: _chained(posted, similarity), lambda known: _between(posted, known, similarity)):
-            near = _sketched(_unlinked(propose(classes).distinct(), classes), nodes, similarity)
+        proposals = (
+            lambda known: _sketched(_unlinked(_balls(nodes.where("size > 0")).distinct(), known), nodes, similarity),
+            lambda known: _sketched(_unlinked(_chained(posted, similarity).distinct(), known), nodes, similarity),
+            lambda known: _between(posted, known, nodes, similarity),
+        )
+        for propose in proposals:
+            near = propose(classes)
             found = staged_alone(spark, lambda near=near: _verified(near, nodes, narrow, shingle, similarity))
             linked = classes.select(F.col("node").alias("u"), F.col("least").alias("v")).union(found)
             if not found.isEmpty():
@@ -297,14 +302,18 @@ def _may_hold(similarity: float) -> Column:
     return near & (left >= (F.col("u.size") + F.col("v.size")) * (similarity / (1 + similarity)) - 1e-9)
 
 
+def _alike(u: str, v: str, similarity: float) -> Column:
+    """Whether two texts, structs with size and sketch, may share enough shingles; no pair that does is refused."""
+    differ = sum((F.bit_count(F.col(f"{u}.{c}").bitwiseXOR(F.col(f"{v}.{c}"))) for c in _SKETCH), F.lit(0))
+    both = F.col(f"{u}.size") + F.col(f"{v}.size")
+    near = F.least(f"{u}.size", f"{v}.size") >= similarity * F.greatest(f"{u}.size", f"{v}.size") - 1e-9
+    return near & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
 def _sketched(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) that may share enough shingles by their numbers and sketches; no pair that does is refused."""
+    """The pairs (u, v) that may share enough shingles by their numbers and sketches."""
     of = lambda side: nodes.select(F.col("same").alias(side), F.struct("size", *_SKETCH).alias(f"{side}_"))
-    met = pairs.join(of("u"), "u").join(of("v"), "v")
-    differ = sum((F.bit_count(F.col(f"u_.{c}").bitwiseXOR(F.col(f"v_.{c}"))) for c in _SKETCH), F.lit(0))
-    both = F.col("u_.size") + F.col("v_.size")
-    near = F.least("u_.size", "v_.size") >= similarity * F.greatest("u_.size", "v_.size") - 1e-9
-    return met.where(near & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-9)).select("u", "v")
+    return pairs.join(of("u"), "u").join(of("v"), "v").where(_alike("u_", "v_", similarity)).select("u", "v")
 
 
 def _chained(posted: DataFrame, similarity: float) -> DataFrame:
@@ -322,11 +331,12 @@ def _chained(posted: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(*_pair(F.col("u.same"), F.col("v.same")))
 
 
-def _between(posted: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (u, v) of texts that meet under a shingle, may be near and are in different classes.
+def _between(posted: DataFrame, classes: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) of texts that meet under a shingle, may be near by their numbers, places and sketches and are in different classes.
 
     Under a shingle, texts outside the largest class meet all texts; where these are many, both sides are cut into pieces and each
-    piece of one meets each piece of the other.
+    piece of one meets each piece of the other. Texts bring their sketches along: most that meet in a large group are not near, and
+    these leave no row.
     """
     known = side(classes)
     named = posted.join(known, posted["same"] == known["node"], "left").select("gram", "same", "size", "pos", F.coalesce("least", "same").alias("class"))
@@ -334,14 +344,14 @@ def _between(posted: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     per = named.groupBy("gram", "class").agg(F.count("*").alias("k"))
     per = per.groupBy("gram").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
     per = per.select("gram", "main", F.ceil(F.col("others") / CELL[0]).cast("int").alias("p"), F.ceil(F.col("n") / CELL[1]).cast("int").alias("q"))
-    cut = stage(named.join(stage(per), "gram"))
-    text = F.struct("same", "size", "pos", "class", "main")
+    cut = stage(named.join(stage(per), "gram").join(nodes.select("same", *_SKETCH), "same"))
+    text = F.struct("same", "size", "pos", "class", "main", *_SKETCH)
     piece = lambda n: F.pmod(F.xxhash64("same", "gram"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     u = cut.where("class <> main").select("gram", text.alias("u"), piece("p").alias("p"), all_of("q").alias("q"))
     v = cut.select("gram", text.alias("v"), piece("q").alias("q"), all_of("p").alias("p"))
     once = (F.col("v.class") == F.col("v.main")) | (F.col("u.same") < F.col("v.same"))
-    pairs = u.join(v, ["gram", "p", "q"]).where((F.col("u.class") != F.col("v.class")) & once & _may_hold(similarity))
+    pairs = u.join(v, ["gram", "p", "q"]).where((F.col("u.class") != F.col("v.class")) & once & _may_hold(similarity) & _alike("u", "v", similarity))
     return pairs.select(*_pair(F.col("u.same"), F.col("v.same"))).distinct()
 
 

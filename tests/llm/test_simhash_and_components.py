@@ -139,6 +139,26 @@ def test_copies_with_other_texts_of_the_same_words_between_them(documents):
     assert found == {100 + i: i for i in range(50)} == {i: m for i, m in near_groups(own).items() if i != m}
 
 
+def test_texts_of_a_group_that_are_not_near_leave_no_pairs(documents, monkeypatch):
+    """Drafts of one text with so many edits that few are near each other; all have its shingles in common."""
+    rng = random.Random(9)
+    base = [f"word{i}" for i in range(200)]
+    own = {i: [f"new{i}x{j}" if j in edits else w for j, w in enumerate(base)] for i in range(150) for edits in [set(rng.sample(range(200), rng.randint(2, 7)))]}
+    own = {i: " ".join(w) for i, w in own.items()}
+    sets = {i: set(S.shingles(S.words(t), 5)) for i, t in own.items()}
+    near = sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for i in own for j in own if i < j)
+    proposed, between = [], S._between
+
+    def counted(*given):
+        proposed.append((out := between(*given)).count())
+        return out
+
+    monkeypatch.setattr(S, "_between", counted)
+    found = {r["doc_id"]: r["copy_of"] for r in S.near_copies(documents(*own.items())).collect()}
+    assert found == {i: m for i, m in near_groups(own).items() if i != m}
+    assert found and len(proposed) == 1 and proposed[0] <= 2 * near
+
+
 def test_odd_rows(odd, nothing):
     got = S.near_duplicates(odd).collect()
     assert len(got) == 11 and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
