@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(dom)
 cloudpickle.register_pickle_by_value(layouts)
 
 
+#: Pages whose candidates are Python objects at once. Thousands would be gone through again and again by the garbage collector.
+AT_ONCE = 256
 #: What ``item_faults`` calls a page that cannot be read at all.
 PAGE_FAULT = "page"
 
@@ -52,7 +54,9 @@ def read_candidates(pages: DataFrame, layout: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             html = batch.column(batch.schema.get_field_index("html"))
-            found_rows = pa.array([read(page.as_py()) for page in html], type=arrow_type)
+            found_rows = pa.concat_arrays(
+                pa.array([read(page) for page in html.slice(at, AT_ONCE).to_pylist()], type=arrow_type) for at in range(0, max(1, len(html)), AT_ONCE)
+            )
             keep = [batch.column(batch.schema.get_field_index(f.name)) for f in carried]
             yield pa.RecordBatch.from_arrays([*keep, found_rows], names=[*(f.name for f in carried), "found"])
 
