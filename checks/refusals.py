@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import base
+from checks.views import base, spread
 from shelfscope.plans import jobs
 from shelfscope.session import scratch_path
 from shelfscope.sources.pages import with_context
@@ -107,7 +107,7 @@ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, '1:BrokenText' FROM orders""
 def search_past_broken_items(spark, sf):
     """Each order is the one page of a keyword that lists three items under an apology; the second holds a number that is no character."""
     item = '<div data-component-type="s-search-result" data-asin="{asin}"><h2><span>{title}</span></h2></div>'
-    orders = base(spark, sf, "orders").select("o_orderkey")
+    orders = spread(base(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
     broken = F.concat(F.lit("<p>&#"), F.repeat(F.lit("9"), 5000), F.lit(";</p>"))
     html = F.concat(
         F.lit("<title>Amazon.com : sorry</title>"),
