@@ -26,6 +26,8 @@ from shelfscope.session import stage
 POSITIVES, NEGATIVES, WINDOW = 5, 10, (30, 90)
 #: Rows and anchors that meet at once, and the anchors whose scores are held at once.
 BLOCK_ROWS, BLOCK_ANCHORS, STRIP = 8_192, 1_024, 64
+#: Blocks of anchors that a task holds beside a block of rows, some 400 KB each.
+WAVE = 64
 #: Size of sums that leaves room below the 2^24 whole numbers float32 holds, terms of a product summed at once, and the largest square of a vector's length.
 EXACT, TERMS, LONGEST = 1 << 23, 1_024, float(1 << 62)
 SCALE, ANCHOR_EVERY = 256, 100
@@ -131,13 +133,20 @@ def _blocks(rows: DataFrame, size: int, primes: dict[int, list[int]]) -> DataFra
     return stage(dealt.groupBy("block", "dims").applyInPandas(gather, made))
 
 
-def _tiles(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each block of rows with each block of anchors of as many dimensions."""
+def _number(blocks: DataFrame) -> int:
     n = blocks.agg(F.max("block")).first()[0]
-    numbers = F.sequence(F.lit(0), F.lit(0 if n is None else n))
-    asked = anchors.select("dims", *(F.col(c).alias(f"a_{c}") for c in anchors.columns if c not in ("dims", "block")), F.explode(numbers).alias("block"))
-    parts = min((n or 0) + 1, 10_000)
-    return blocks.repartition(parts, "block").join(asked.repartition(parts, "block"), ["block", "dims"])
+    return 1 if n is None else n + 1
+
+
+def _tiles(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Each block of rows with each block of anchors of as many dimensions.
+
+    All pairs of partitions, so a task reads its own blocks from the shared folder: a join by numbers of blocks would copy the anchors for
+    each block of rows, and send all copies through the driver where the anchors alone look small.
+    """
+    asked = anchors.select("dims", *(F.col(c).alias(f"a_{c}") for c in anchors.columns if c not in ("dims", "block")))
+    asked = asked.repartition(-(-_number(anchors) // WAVE)).hint("shuffle_replicate_nl")
+    return blocks.repartition(min(_number(blocks), 10_000), "block").join(asked, "dims")
 
 
 def _each_tile(batches: Iterator[pa.RecordBatch], primes: dict[int, list[int]]) -> Iterator[tuple]:

@@ -69,3 +69,10 @@ def test_ties_repeats_and_rows_without_value(spark):
     assert mined(spark, rows + none, block_rows=2, block_anchors=1) == got
     assert mined(spark, [(0, [], 1), (1, [], 1), (2, [], 2)]) == [(0, 2, 1, 1, 0, 0)] == plain([(0, [], 2), (1, [], 1), (2, [], 2)])
     assert mined(spark, none) == mined(spark, none[:0]) == []
+
+
+def test_anchors_are_not_sent_through_the_driver(spark):
+    """What a join makes of few anchors grows with the rows, however small the anchors look."""
+    rows = [(i, [i % 7 / 7, 0.5], i % 3) for i in range(0, 300, 4)]
+    plan = H.mine(H.usable(table(spark, rows), label=H.relabelled()), F.col("vec_id") % 100 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
