@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.views import oracle, view
 from shelfscope.plans import upkeep
-from shelfscope.session import scratch_path
+from shelfscope.session import scratch_path, stage
 from shelfscope.sources.tables import Store
 
 QUERIES, ORACLES = {}, {}
@@ -35,7 +35,8 @@ def _fill(spark, sf, after, tables=("products", "reviews", "search_results")):
     """Five rounds of upserts into ``tables``; what ``after`` makes is updated behind each, as a job would."""
     root = scratch_path(spark, "kept")
     store = Store(spark, f"{root}/store", buckets=8).create()
-    products, reviews, search = view(spark, sf, "products"), _reviews(spark, sf), view(spark, sf, "search_results")
+    products, search = view(spark, sf, "products"), view(spark, sf, "search_results")
+    reviews = stage(_reviews(spark, sf)) if "reviews" in tables else None
     number = F.substring("asin", 2, 9).cast("bigint")
     kept = after(store, f"{root}/kept")
     for n in range(5):

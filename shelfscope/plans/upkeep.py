@@ -54,25 +54,45 @@ class KeptSums:
     def _types(self) -> dict[str, str]:
         return {"n": "bigint"} | {s: "decimal(38,6)" if s == "rating_sum" else "bigint" for s in self.sums}
 
-    def _delta(self, changes: DataFrame) -> DataFrame:
-        """What the changes add to each sum; keys whose sums stay are left out."""
+    def _added(self, changes: DataFrame, keys: list[str]) -> DataFrame:
+        """What the changes add to each sum, by ``keys``."""
         types, sign = self._types(), F.col("change")
         sums = {"n": "1L"} | self.sums
-        out = changes.groupBy(*self.keys).agg(*(F.sum(sign * F.expr(c)).cast(types[name]).alias(name) for name, c in sums.items()))
+        return changes.groupBy(*keys).agg(*(F.sum(sign * F.expr(c)).cast(types[name]).alias(name) for name, c in sums.items()))
+
+    def _delta(self, added: DataFrame) -> DataFrame:
+        """What was added by finer keys, by the own ones; keys whose sums stay are left out."""
+        types = self._types()
+        out = added.groupBy(*self.keys).agg(*(F.sum(name).cast(kind).alias(name) for name, kind in types.items()))
         some = F.lit(False)
-        for name in sums:
+        for name in types:
             some = some | (F.col(name) != 0)
         return out.where(some)
 
+    @staticmethod
+    def update_all(kept: list["KeptSums"], table: KeyedTable) -> None:
+        """Take in what has changed since the last update; reads the parts written since and the folders of their keys, once for all that sum
+        the same of it up to now."""
+        upto, todo = table.version(), {}
+        for one in kept:
+            if upto > one.version():
+                todo.setdefault((one.version(), tuple(one.sums.items())), []).append(one)
+        for (since, _), alike in todo.items():
+            spark, keys = table.spark, sorted({k for one in alike for k in one.keys})
+            with scratch_scope(spark):
+                added = alike[0]._added(table.changes(since, upto), keys)
+                added = stage(added) if len(alike) > 1 else added
+                for one in alike:
+                    one._delta(added).coalesce(8).write.mode("overwrite").parquet(f"{one.path}/upto={upto:09d}")
+            for one in alike:
+                one._fold(upto)
+
+    def _fold(self, upto: int) -> None:
+        if len(self._parts()) > MAX_PARTS:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/whole={upto:09d}")
+
     def update(self, table: KeyedTable) -> "KeptSums":
-        """Take in what has changed since the last update; reads the parts written since and the folders of their keys."""
-        since, upto = self.version(), table.version()
-        if upto > since:
-            with scratch_scope(self.spark):
-                delta = self._delta(table.changes(since, upto))
-                delta.coalesce(8).write.mode("overwrite").parquet(f"{self.path}/upto={upto:09d}")
-            if len(self._parts()) > MAX_PARTS:
-                self.read().write.mode("overwrite").parquet(f"{self.path}/whole={upto:09d}")
+        self.update_all([self], table)
         return self
 
     def read(self) -> DataFrame:
@@ -98,8 +118,8 @@ class KeptFigures:
         self.sums = {name: KeptSums(store.spark, root, name) for name in SUMS}
 
     def update(self) -> "KeptFigures":
-        for kept in self.sums.values():
-            kept.update(self.store[kept.table])
+        for name in sorted({kept.table for kept in self.sums.values()}):
+            KeptSums.update_all([kept for kept in self.sums.values() if kept.table == name], self.store[name])
         return self
 
     def brand_stats(self, limit: int | None = 50) -> DataFrame:
@@ -154,7 +174,7 @@ class KeptMerged:
         with scratch_scope(self.spark):
             touched = None
             for name, old, new in zip(self.TABLES, since, upto):
-                asins = self.store[name].changes(old, new).select("asin")
+                asins = self.store[name].changed_keys(old, new)
                 touched = asins if touched is None else touched.unionByName(asins)
             touched = stage(touched.distinct())
             path = f"{self.path}/upto={number + 1:06d}-{'-'.join(map(str, upto))}"

@@ -147,6 +147,8 @@ class KeyedTable:
         with both signs. The manifests must not have been purged.
         """
         old, new = self._manifest(since), self._manifest(self.version() if upto is None else upto)
+        if new["parts"][: len(old["parts"])] == old["parts"] and not self.preserve_created_at:
+            return self._added(old, new)
         keyless = " OR ".join(f"{k} IS NULL" for k in self.keys)
         only = {-1: [p for p in old["parts"] if p not in new["parts"]], 1: [p for p in new["parts"] if p not in old["parts"]]}
         counts = old["rows"] | new["rows"]
@@ -166,6 +168,29 @@ class KeyedTable:
             out = out.unionByName(rows.withColumn("change", F.lit(sign)))
         return out
 
+    def _added(self, old: dict, new: dict) -> DataFrame:
+        """``changes`` between versions of which the newer only has more parts: rows as they are lie in these, and only rows as they were
+        are looked up in the older version."""
+        parts, counts = new["parts"][len(old["parts"]) :], old["rows"] | new["rows"]
+        out = self._rows(parts, counts).withColumn("change", F.lit(1))
+        if not old["parts"] or not parts:
+            return out
+        buckets, keys = set(), None
+        for part in parts:
+            buckets |= {int(n.split("=")[1]) for n in files.names(self.spark, self._part(part)) if n.startswith(f"{BUCKET}=")}
+            own = self._part_rows(part).select(*self.keys)
+            keys = own if keys is None else keys.unionByName(own)
+        rows = self._rows(old["parts"], counts, sorted(buckets))
+        return out.unionByName(rows.join(self._sent(keys, self._count(parts, counts)), self.keys, "left_semi").withColumn("change", F.lit(-1)))
+
+    def changed_keys(self, since: int, upto: int) -> DataFrame:
+        """What ``changes`` has in its first key column, some more than once, from the parts that only one of the versions has."""
+        old, new = self._manifest(since)["parts"], self._manifest(upto)["parts"]
+        out = self.spark.createDataFrame([], self.schema).select(self.keys[0])
+        for part in [p for p in old if p not in new] + [p for p in new if p not in old]:
+            out = out.unionByName(self._part_rows(part).select(self.keys[0]))
+        return out
+
     # writing --------------------------------------------------------------------------------
     def create(self) -> "KeyedTable":
         """Publish an empty table unless there is one."""
