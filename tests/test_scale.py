@@ -6,6 +6,8 @@ from checks import refusals
 from shelfscope.operators import quality
 from shelfscope.plans import upkeep
 from shelfscope.sources.tables import KeyedTable, Store
+from shelfscope.streaming import review_state
+from shelfscope.streaming.review_state import kept_reviews
 
 
 def test_broken_items_are_read_by_all_slots(spark, folder, monkeypatch):
@@ -67,3 +69,20 @@ def test_sums_of_one_table_read_its_changes_once(spark, folder, monkeypatch):
     assert asked.count("reviews") == 1
     assert sorted((r.asin, r.total) for r in kept.review_stats_by_asin().collect()) == [("A0", 2), ("A1", 2), ("A2", 2)]
     assert sorted((r.brand, r.reviews) for r in kept.brand_progress().collect()) == [("b0", 3), ("b1", 3)]
+
+
+def test_a_stream_keeps_odd_texts_and_passes_one_column(spark, folder):
+    """What a product costs in the keyed step goes with the columns that cross to Python."""
+    said = ['He said "fine"', "a \\ b\tc", "naïve \U0001f600   text", None]
+    rows = [("A1", 1, n, f"R{n}", t) for n, t in enumerate(said)] + [("A2", 2, 0, "R9", "waits"), (None, 1, 0, "R8", "no product")]
+    types = "asin string, page_no int, pos int, review_id string, content string"
+    more = {"page_id": F.lit(2**60).cast("long"), "fetched_at": F.lit(None).cast("timestamp"), "bad": F.lit(None).cast("boolean"), "rating": F.lit(4), "helpful_votes": F.lit(None).cast("int")}
+    more |= {"verified_purchase": F.lit(1)} | {c: F.lit(None).cast("string") for c in ("title", "date", "author", "variant")}
+    spark.createDataFrame(rows, types).withColumns(more).write.parquet(f"{folder}/rows")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/rows").schema).parquet(f"{folder}/rows")
+    kept = kept_reviews(stream, 10)
+    run = kept.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{folder}/kept")
+    run.awaitTermination()
+    got = spark.read.parquet(f"{folder}/kept").select("asin", "review_id", "content", "rating", "helpful_votes").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted((("A1", f"R{n}", t, 4, None) for n, t in enumerate(said)), key=str)
+    assert len(review_state.STATE.split(",")) == 1 and len(review_state.KEPT.split(",")) == 2
